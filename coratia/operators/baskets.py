@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coratia.plans.lineage import cut_lineage
+from coratia.plans.lineage import Stored, cut_lineage, store
 from coratia.plans.skew import MATCHES_PER_CELL, pairs_of_group, spread_join
 
 # Baskets with more distinct frequent items than this are big.
@@ -106,17 +106,17 @@ def _count_sets(occurrences: DataFrame, by: list[str]) -> DataFrame:
     return occurrences.groupBy(*by).agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _numbered(sets: DataFrame) -> DataFrame:
+def _numbered(sets: DataFrame) -> Stored:
     """Give the sets of a level numbers that stay the same once stored."""
-    return cut_lineage(sets.withColumn("set_id", F.monotonically_increasing_id()))
+    return store(sets.withColumn("set_id", F.monotonically_increasing_id()))
 
 
-def _spelled(level: DataFrame, previous: DataFrame | None) -> DataFrame:
+def _spelled(level: DataFrame, previous: Stored | None) -> DataFrame:
     """Add the array `items`, from the spelled sets of the level before."""
     if previous is None:
         return level.withColumn("items", F.array("last"))
-    before = previous.select(F.col("set_id").alias("prefix"), F.col("items").alias("__before"))
-    return level.join(before, "prefix").select(
+    before = previous.df.select(F.col("set_id").alias("prefix"), F.col("items").alias("__before"))
+    return level.join(previous.fits(before), "prefix").select(
         *level.columns, F.concat("__before", F.array("last")).alias("items")
     )
 
@@ -151,43 +151,42 @@ def frequent_itemsets(
         .filter(F.col("freq") >= support)
         .withColumn("prefix", F.lit(NO_PREFIX).cast("long"))
     )
-    if singles.isEmpty():
+    if not singles.rows:
         return _empty_report(items)
-    level, size = _spelled(singles, None), 1
-    report = [_report_rows(level, size)]
+    level, size = Stored(_spelled(singles.df, None), singles.rows), 1
+    report = [_report_rows(level.df, size)]
     occurrences = cut_lineage(
         items.withColumnRenamed("item", "last")
-        .join(singles.select("last", "prefix", "set_id"), "last")
+        .join(singles.fits(singles.df.select("last", "prefix", "set_id")), "last")
         .select("basket", "prefix", "last", "set_id")
     )
-    heavy = cut_lineage(
-        big_baskets(occurrences.select("basket", F.col("last").alias("item")), support, big)
-    )
-    n_heavy = heavy.count()
+    heavy = store(big_baskets(occurrences.select("basket", F.col("last").alias("item")), support, big))
+    n_heavy = heavy.rows
     in_heavy = None
     if n_heavy:
         # At most MOST_BIG_BASKETS keys are broadcast.
-        in_heavy = cut_lineage(occurrences.join(F.broadcast(heavy), "basket", "left_semi"))
-        occurrences = cut_lineage(occurrences.join(F.broadcast(heavy), "basket", "left_anti"))
+        in_heavy = cut_lineage(occurrences.join(heavy.sized(), "basket", "left_semi"))
+        occurrences = cut_lineage(occurrences.join(heavy.sized(), "basket", "left_anti"))
     key = ["prefix", "last"]
     while max_size is None or size < max_size:
         raw = _next_occurrences(occurrences, limit)
         counted = _count_sets(raw, key)
         if n_heavy:
-            candidates = cut_lineage(counted.filter(F.col("freq") >= support - n_heavy))
-            in_big = _count_sets(_occurrences_of(in_heavy, candidates.select(*key)), key)
+            candidates = store(counted.filter(F.col("freq") >= support - n_heavy))
+            wanted = candidates.fits(candidates.df.select(*key))
+            in_big = _count_sets(_occurrences_of(in_heavy, wanted), key)
             counted = (
-                candidates.unionByName(in_big).groupBy(*key).agg(F.sum("freq").alias("freq"))
+                candidates.df.unionByName(in_big).groupBy(*key).agg(F.sum("freq").alias("freq"))
             )
         frequent = _numbered(counted.filter(F.col("freq") >= support))
-        if frequent.isEmpty():
+        if not frequent.rows:
             break
         size += 1
-        level = cut_lineage(_spelled(frequent, level))
-        report.append(_report_rows(level, size))
+        level = Stored(cut_lineage(_spelled(frequent.df, level)), frequent.rows)
+        report.append(_report_rows(level.df, size))
         if size == max_size:
             break
-        named = frequent.select(*key, "set_id")
+        named = frequent.fits(frequent.df.select(*key, "set_id"))
         occurrences = cut_lineage(raw.join(named, key).select("basket", *key, "set_id"))
         if n_heavy:
             in_heavy = cut_lineage(_occurrences_of(in_heavy, named))
@@ -215,10 +214,10 @@ def itemset_report(
     if support < 1:
         raise ValueError("support must be at least 1")
     items = cut_lineage(items.select("basket", "chunk", "item"))
-    chunks = cut_lineage(
+    chunks = store(
         items.select("chunk", "basket").distinct().groupBy("chunk").agg(F.count(F.lit(1)).alias("n_chunk"))
     )
-    n_baskets = chunks.agg(F.sum("n_chunk")).first()[0] or 0
+    n_baskets = chunks.df.agg(F.sum("n_chunk")).first()[0] or 0
     raw = items.select(
         "basket", "chunk", F.lit(NO_PREFIX).cast("long").alias("prefix"), F.col("item").alias("last")
     )
@@ -228,7 +227,7 @@ def itemset_report(
     while max_size is None or size < max_size:
         per_chunk = cut_lineage(_count_sets(raw, ["chunk", *key]))
         candidates = (
-            per_chunk.join(chunks, "chunk")
+            per_chunk.join(chunks.sized(), "chunk")
             .filter(F.col("freq") * F.lit(n_baskets) >= F.lit(support) * F.col("n_chunk"))
             .select(*key)
             .distinct()
@@ -238,11 +237,11 @@ def itemset_report(
             .agg(F.sum("freq").alias("freq"))
             .filter(F.col("freq") >= support)
         )
-        if frequent.isEmpty():
+        if not frequent.rows:
             break
         size += 1
         spelled = _spelled(candidates, level)
-        level = cut_lineage(_spelled(frequent, level))
+        level = Stored(cut_lineage(_spelled(frequent.df, level)), frequent.rows)
         report.append(
             spelled.select(
                 F.lit("candidate").alias("kind"),
@@ -251,10 +250,10 @@ def itemset_report(
                 F.lit(None).cast("long").alias("freq"),
             )
         )
-        report.append(_report_rows(level, size).select(F.lit("frequent").alias("kind"), "*"))
+        report.append(_report_rows(level.df, size).select(F.lit("frequent").alias("kind"), "*"))
         if size == max_size:
             break
-        named = frequent.select(*key, "set_id")
+        named = frequent.fits(frequent.df.select(*key, "set_id"))
         occurrences = cut_lineage(raw.join(named, key).select("basket", "chunk", *key, "set_id"))
         raw = _next_occurrences(occurrences, limit)
     if not report:
@@ -320,8 +319,8 @@ def _matches(items: DataFrame, sets: DataFrame, limit: int = MATCHES_PER_CELL) -
     Sets are joined on their items in long form and held if as many items
     match as the set has. Neither a basket nor the set list is collected.
     """
-    sets = cut_lineage(sets.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()))
-    wanted = sets.select("set_id", F.size("items").alias("n_wanted"), F.explode("items").alias("item"))
+    sets = store(sets.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()))
+    wanted = sets.df.select("set_id", F.size("items").alias("n_wanted"), F.explode("items").alias("item"))
     by = ["basket", "set_id", "n_wanted"] + (["chunk"] if "chunk" in items.columns else [])
     held = (
         spread_join(items, wanted, ["item"], "basket", "set_id", limit)
@@ -329,4 +328,4 @@ def _matches(items: DataFrame, sets: DataFrame, limit: int = MATCHES_PER_CELL) -
         .agg(F.count(F.lit(1)).alias("n_held"))
         .filter(F.col("n_held") == F.col("n_wanted"))
     )
-    return held.join(sets, "set_id").drop("set_id", "n_wanted", "n_held")
+    return held.join(sets.sized(), "set_id").drop("set_id", "n_wanted", "n_held")

@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coratia.plans.lineage import cut_lineage
+from coratia.plans.lineage import BROADCAST_ROWS, Stored, cut_lineage, store
 from coratia.plans.skew import MATCHES_PER_CELL, pairs_of_group
 
 # Groups with more members than this are hot: see `shared_counts`.
@@ -137,23 +137,27 @@ class _Steps:
     """Edges laid out for searches: the edges of a hub are split into parts.
 
     `edges` has (node, part, neighbour, neighbour_parts); a row of the search at a
-    node with several parts is sent to each of them.
+    node with several parts is sent to each of them. `parts` is None without hubs.
     """
 
-    edges: DataFrame
-    parts: DataFrame | None
+    edges: Stored
+    parts: Stored | None
 
-    def expand(self, state: DataFrame) -> DataFrame:
-        """Join (node, parts, ...) rows with the edges of their nodes."""
+    def expand(self, state: Stored, columns: list[Column]) -> DataFrame:
+        """Join selected columns of (node, parts, ...) rows with the edges of their nodes."""
+        rows = state.df.select("node", "parts", *columns)
+        if self.edges.rows > BROADCAST_ROWS:
+            rows = state.fits(rows)
+        edges = self.edges.sized()
         if self.parts is None:
-            return state.join(self.edges, "node")
-        spread = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return spread.join(self.edges, ["node", "part"]).drop("part")
+            return rows.join(edges, "node")
+        spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return spread.join(edges, ["node", "part"]).drop("part")
 
     def with_parts(self, nodes: DataFrame) -> DataFrame:
         if self.parts is None:
             return nodes.withColumn("parts", F.lit(1))
-        return nodes.join(self.parts, "node")
+        return nodes.join(self.parts.sized(), "node")
 
 
 def _steps(edges: DataFrame, hub: int) -> _Steps:
@@ -162,13 +166,13 @@ def _steps(edges: DataFrame, hub: int) -> _Steps:
     )
     degree = degrees(edges)
     if degree.filter(F.col("degree") > hub).isEmpty():
-        return _Steps(cut_lineage(plain), None)
-    parts = cut_lineage(degree.select("node", F.ceil(F.col("degree") / F.lit(hub)).cast("int").alias("parts")))
-    ends = parts.select(F.col("node").alias("neighbour"), F.col("parts").alias("neighbour_parts"))
+        return _Steps(store(plain), None)
+    parts = store(degree.select("node", F.ceil(F.col("degree") / F.lit(hub)).cast("int").alias("parts")))
+    ends = parts.df.select(F.col("node").alias("neighbour"), F.col("parts").alias("neighbour_parts"))
     laid_out = (
         plain.drop("neighbour_parts")
-        .join(parts, "node")
-        .join(ends, "neighbour")
+        .join(parts.sized(), "node")
+        .join(parts.fits(ends), "neighbour")
         .select(
             "node",
             F.pmod(F.xxhash64("neighbour"), F.col("parts")).cast("int").alias("part"),
@@ -176,10 +180,10 @@ def _steps(edges: DataFrame, hub: int) -> _Steps:
             "neighbour_parts",
         )
     )
-    return _Steps(cut_lineage(laid_out), parts)
+    return _Steps(store(laid_out), parts)
 
 
-def _search_levels(steps: _Steps, roots: DataFrame) -> list[DataFrame]:
+def _search_levels(steps: _Steps, roots: DataFrame) -> list[Stored]:
     """One (root, node, sigma, parts) table per level, for all roots at once.
 
     The neighbours of a level lie on the level before, the same level or the
@@ -188,27 +192,31 @@ def _search_levels(steps: _Steps, roots: DataFrame) -> list[DataFrame]:
     there before.
     """
     start = steps.with_parts(roots.select(F.col("node").alias("root"), "node"))
-    current = cut_lineage(start.select("root", "node", F.lit(1.0).alias("sigma"), "parts"))
+    current = store(start.select("root", "node", F.lit(1.0).alias("sigma"), "parts"))
     levels, before = [], None
-    while not current.isEmpty():
+    while current.rows:
         levels.append(current)
-        reached = steps.expand(current).select(
+        reached = steps.expand(current, [F.col("root"), F.col("sigma")]).select(
             "root",
             F.col("neighbour").alias("node"),
             "sigma",
             F.col("neighbour_parts").alias("parts"),
             F.lit(False).alias("old"),
         )
-        seen = current if before is None else current.unionByName(before)
+        seen = current.df if before is None else current.df.unionByName(before.df)
         known = seen.select("root", "node", F.lit(0.0).alias("sigma"), "parts", F.lit(True).alias("old"))
         merged = reached.unionByName(known).groupBy("root", "node").agg(
             F.sum("sigma").alias("sigma"), F.max("parts").alias("parts"), F.max("old").alias("old")
         )
         before = current
-        current = cut_lineage(merged.filter(~F.col("old")).drop("old"))
+        current = store(merged.filter(~F.col("old")).drop("old"))
     return levels
 
 
+def _no_rows(edges: DataFrame, **columns: Column) -> DataFrame:
+    return edges.select(*[c.alias(name) for name, c in columns.items()]).limit(0)
+
+
 def shortest_path_counts(
     edges: DataFrame, roots: DataFrame | None = None, hub: int = HUB_EDGES
 ) -> DataFrame:
@@ -220,22 +228,18 @@ def shortest_path_counts(
     steps = _steps(edges, hub)
     levels = _search_levels(steps, nodes_of(edges) if roots is None else roots.select("node"))
     if not levels:
-        return edges.select(
-            F.col("src").alias("root"),
-            F.col("src").alias("node"),
-            F.lit(0).alias("level"),
-            F.lit(1.0).alias("sigma"),
-        ).limit(0)
+        src = F.col("src")
+        return _no_rows(edges, root=src, node=src, level=F.lit(0), sigma=F.lit(1.0))
     return reduce(
         DataFrame.unionByName,
         [
-            level.select("root", "node", F.lit(i).alias("level"), "sigma")
+            level.df.select("root", "node", F.lit(i).alias("level"), "sigma")
             for i, level in enumerate(levels)
         ],
     )
 
 
-def _flows(steps: _Steps, levels: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
+def _flows(steps: _Steps, levels: list[Stored]) -> tuple[list[DataFrame], list[DataFrame]]:
     """Credits per level and flows over shortest-path edges, from the deepest level up.
 
     A node's credit is one plus what its children pass up; a child divides its
@@ -243,25 +247,27 @@ def _flows(steps: _Steps, levels: list[DataFrame]) -> tuple[list[DataFrame], lis
     """
     if not levels:
         return [], []
-    credit = levels[-1].withColumn("credit", F.lit(1.0))
-    credits, flows = [credit], []
+    credit = Stored(levels[-1].df.withColumn("credit", F.lit(1.0)), levels[-1].rows)
+    credits, flows = [credit.df], []
     for above in reversed(levels[:-1]):
-        child = credit.select(
-            "root", "node", "parts", F.col("node").alias("child"), (F.col("credit") / F.col("sigma")).alias("share")
+        share = (F.col("credit") / F.col("sigma")).alias("share")
+        up = steps.expand(credit, [F.col("root"), F.col("node").alias("child"), share]).select(
+            "root", "child", F.col("neighbour").alias("node"), "share"
         )
-        up = steps.expand(child).select("root", "child", F.col("neighbour").alias("node"), "share")
         flow = cut_lineage(
-            up.join(above.select("root", "node", "sigma"), ["root", "node"]).select(
+            up.join(above.fits(above.df.select("root", "node", "sigma")), ["root", "node"]).select(
                 "root", F.col("node").alias("parent"), "child", (F.col("share") * F.col("sigma")).alias("flow")
             )
         )
         passed = flow.groupBy("root", F.col("parent").alias("node")).agg(F.sum("flow").alias("passed"))
-        credit = cut_lineage(
-            above.join(passed, ["root", "node"], "left").select(
+        # Made from stored rows in one step, so it needs no cut of its own.
+        credit = Stored(
+            above.df.join(above.fits(passed), ["root", "node"], "left").select(
                 "root", "node", "sigma", "parts", (1.0 + F.coalesce("passed", F.lit(0.0))).alias("credit")
-            )
+            ),
+            above.rows,
         )
-        credits.append(credit)
+        credits.append(credit.df)
         flows.append(flow)
     return credits, flows
 
@@ -274,9 +280,7 @@ def node_credit(
     levels = _search_levels(steps, nodes_of(edges) if roots is None else roots.select("node"))
     credits, _ = _flows(steps, levels)
     if not credits:
-        return edges.select(
-            F.col("src").alias("root"), F.col("src").alias("node"), F.lit(1.0).alias("credit")
-        ).limit(0)
+        return _no_rows(edges, root=F.col("src"), node=F.col("src"), credit=F.lit(1.0))
     return reduce(DataFrame.unionByName, [c.select("root", "node", "credit") for c in credits])
 
 
@@ -292,22 +296,18 @@ def edge_betweenness(edges: DataFrame, batches: int = 1, hub: int = HUB_EDGES) -
     ends = [F.least("parent", "child").alias("src"), F.greatest("parent", "child").alias("dst")]
     partial = []
     for batch in range(batches):
-        mine = roots.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
+        mine = roots if batches == 1 else roots.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
         _, flows = _flows(steps, _search_levels(steps, mine))
         if flows:
-            of_batch = [f.groupBy(*ends).agg(F.sum("flow").alias("flow")) for f in flows]
-            partial.append(reduce(DataFrame.unionByName, of_batch))
-            if batches > 1:
-                partial[-1] = cut_lineage(
-                    partial[-1].groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
-                )
+            rows = reduce(DataFrame.unionByName, [f.select(*ends, "flow") for f in flows])
+            summed = rows.groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
+            partial.append(cut_lineage(summed) if batches > 1 else summed)
     if not partial:
-        return edges.select("src", "dst", F.lit(0.0).alias("betweenness")).limit(0)
-    return (
-        reduce(DataFrame.unionByName, partial)
-        .groupBy("src", "dst")
-        .agg((F.sum("flow") / 2).alias("betweenness"))
-    )
+        return _no_rows(edges, src=F.col("src"), dst=F.col("dst"), betweenness=F.lit(0.0))
+    if batches > 1:
+        total = reduce(DataFrame.unionByName, partial)
+        partial = [total.groupBy("src", "dst").agg(F.sum("flow").alias("flow"))]
+    return partial[0].select("src", "dst", (F.col("flow") / 2).alias("betweenness"))
 
 
 # --- components and modularity ---------------------------------------------------------
@@ -321,41 +321,41 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     then its smaller neighbours and itself. The number of rounds grows with the logarithm of the
     longest path, and each round is two grouped minima and two joins.
     """
-    links = cut_lineage(
+    links = store(
         edges.filter(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("to"))
         .distinct()
     )
     while not _all_stars(links):
-        around = links.unionByName(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
+        around = links.df.unionByName(links.df.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = around.groupBy("node").agg(F.min("to").alias("least"))
         least = least.select("node", F.least("node", "least").alias("least"))
-        large = (
-            around.join(least, "node")
+        large = store(
+            around.join(links.fits(least), "node")
             .filter(F.col("to") > F.col("node"))
             .select(F.col("to").alias("node"), F.col("least").alias("to"))
             .distinct()
         )
-        large = cut_lineage(large)
-        least = large.groupBy("node").agg(F.min("to").alias("least"))
-        moved = large.join(least, "node").filter(F.col("to") != F.col("least"))
-        links = cut_lineage(
+        least = large.df.groupBy("node").agg(F.min("to").alias("least"))
+        moved = large.df.join(large.fits(least), "node").filter(F.col("to") != F.col("least"))
+        links = store(
             moved.select(F.col("to").alias("node"), F.col("least").alias("to"))
             .unionByName(least.withColumnRenamed("least", "to"))
             .distinct()
         )
-    named = links.withColumnRenamed("to", "community")
+    named = links.fits(links.df.withColumnRenamed("to", "community"))
     return nodes.select("node").join(named, "node", "left").select(
         "node", F.coalesce("community", "node").alias("community")
     )
 
 
-def _all_stars(links: DataFrame) -> bool:
+def _all_stars(links: Stored) -> bool:
     """Whether each linked node has one target, which is linked to nothing itself."""
-    targets = links.select(F.col("to").alias("node")).distinct()
-    chained = links.join(targets, "node", "left_semi").select("node")
-    torn = links.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("node")
-    return chained.unionByName(torn).isEmpty()
+    ends = links.df.select("node", F.lit(1).alias("links"), F.lit(0).alias("targets")).unionByName(
+        links.df.select(F.col("to").alias("node"), F.lit(0).alias("links"), F.lit(1).alias("targets"))
+    )
+    per_node = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("targets").alias("targets"))
+    return per_node.filter((F.col("links") > 1) | ((F.col("links") > 0) & (F.col("targets") > 0))).isEmpty()
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 # --- splitting -------------------------------------------------------------------------
 
 
-def _tied(column: str = "betweenness"):
+def _tied(column: str = "betweenness") -> Column:
     return F.round(column, TIE_DECIMALS)
 
 
@@ -419,34 +419,36 @@ def girvan_newman(edges: DataFrame, batches: int = 1, hub: int = HUB_EDGES) -> D
     and the modularity come back to the driver.
     """
     edges = cut_lineage(edges.select("src", "dst"))
-    nodes = cut_lineage(nodes_of(edges))
-    member = cut_lineage(components(nodes, edges))
-    best, best_value = member, modularity(edges, member).first()["modularity"]
+    member = store(components(nodes_of(edges), edges))
+    best, best_value = member.df, modularity(edges, member.sized()).first()["modularity"]
     left = edges
-    between = cut_lineage(edge_betweenness(edges, batches, hub))
+    between = store(edge_betweenness(edges, batches, hub))
     while True:
-        top = between.agg(F.max(_tied()).alias("top")).first()["top"]
+        top = between.df.agg(F.max(_tied()).alias("top")).first()["top"]
         if top is None or top <= 1.0:
             return best
-        dropped = cut_lineage(between.filter(_tied() == F.lit(top)).select("src", "dst"))
-        left = cut_lineage(drop_edges(left, dropped))
+        # The dropped edges and the nodes of the components they tear are no
+        # more than the edges and nodes there are.
+        dropped = between.df.filter(_tied() == F.lit(top)).select("src", "dst")
+        left = cut_lineage(drop_edges(left, between.fits(dropped)))
         torn = (
-            dropped.select(F.col("src").alias("node"))
-            .join(member, "node")
+            member.df.join(between.fits(dropped.select(F.col("src").alias("node"))), "node", "left_semi")
             .select("community")
             .distinct()
         )
-        torn_nodes = cut_lineage(member.join(torn, "community", "left_semi").select("node"))
-        at_src = torn_nodes.withColumnRenamed("node", "src")
+        torn_nodes = store(member.df.join(member.fits(torn), "community", "left_semi").select("node"))
+        at_src = torn_nodes.fits(torn_nodes.df.withColumnRenamed("node", "src"))
         torn_edges = cut_lineage(left.join(at_src, "src", "left_semi"))
-        between = cut_lineage(
-            between.join(at_src, "src", "left_anti").unionByName(
+        between = store(
+            between.df.join(at_src, "src", "left_anti").unionByName(
                 edge_betweenness(torn_edges, batches, hub)
             )
         )
-        member = cut_lineage(
-            member.join(torn_nodes, "node", "left_anti").unionByName(components(torn_nodes, torn_edges))
+        member = store(
+            member.df.join(torn_nodes.sized(), "node", "left_anti").unionByName(
+                components(torn_nodes.df, torn_edges)
+            )
         )
-        value = modularity(edges, member).first()["modularity"]
+        value = modularity(edges, member.sized()).first()["modularity"]
         if value > best_value:
-            best, best_value = member, value
+            best, best_value = member.df, value

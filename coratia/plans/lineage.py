@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+# Tables up to this many (narrow) rows may be sent to every executor.
+BROADCAST_ROWS = 100_000
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:
@@ -28,3 +33,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Run `df` once and continue from its stored rows."""
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Stored rows and how many there are."""
+
+    df: DataFrame
+    rows: int
+
+    def sized(self) -> DataFrame:
+        """The rows, marked for broadcast if they are few; else joins shuffle as usual."""
+        return F.broadcast(self.df) if self.rows <= BROADCAST_ROWS else self.df
+
+    def fits(self, other: DataFrame) -> DataFrame:
+        """`other`, known to have no more rows than this table, treated the same way."""
+        return F.broadcast(other) if self.rows <= BROADCAST_ROWS else other
+
+
+def store(df: DataFrame) -> Stored:
+    """Cut the lineage and count the rows on the way, without another job."""
+    counted = Observation()
+    stored = cut_lineage(df.observe(counted, F.count(F.lit(1)).alias("rows")))
+    return Stored(stored, counted.get["rows"])

@@ -79,7 +79,7 @@ def review_summary(
 
 def _top_list(reviews: DataFrame, key: str, k: int, name: str) -> DataFrame:
     """The top list as one array in one row; `k` rows at most are collected."""
-    entry = F.struct((-F.col("n")).alias("order"), F.col(key).cast("string").alias("id"), "n")
+    entry = F.struct((-F.col("n")).alias("order"), F.col(key).alias("id"), "n")
     ranked = top_keys(reviews, key, k).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     return ranked.select(
         F.lit(1).alias("one"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coratia.plans.lineage import BROADCAST_ROWS, Stored, cut_lineage, store
-from coratia.plans.skew import MATCHES_PER_CELL, pairs_of_group
+from coratia.plans.skew import MATCHES_PER_CELL, aggregate_pairs
 
 # Groups with more members than this are hot: see `shared_counts`.
 HOT_GROUP = 10_000
@@ -66,11 +66,9 @@ def shared_counts(
     n_hot = hot.count()
     # At most MOST_HOT_GROUPS keys are broadcast.
     light = rows.join(F.broadcast(hot), "group", "left_anti") if n_hot else rows
-    pairs = (
-        pairs_of_group(light, ["group"], "member", limit=limit)
-        .groupBy("member_1", "member_2")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .filter(F.col("shared") >= max(1, min_shared - n_hot))
+    shared = [F.count(F.lit(1)).alias("shared")]
+    pairs = aggregate_pairs(light, ["group"], "member", shared, limit=limit).filter(
+        F.col("shared") >= max(1, min_shared - n_hot)
     )
     if n_hot:
         carried = cut_lineage(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Tables up to this many (narrow) rows may be sent to every executor.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 300_000
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:

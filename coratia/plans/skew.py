@@ -18,9 +18,14 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coratia.plans.lineage import cut_lineage
+from coratia.plans.lineage import cut_lineage, store
 
 MATCHES_PER_CELL = 50_000_000
+# Rows of one key that travel together as a list.
+LIST_ROWS = 1_000
+# Matches that one task of `aggregate_matches` is meant to see.
+MATCHES_PER_TASK = 2_000_000
+MOST_TASKS = 50_000
 
 _LEFT_STRIP, _RIGHT_STRIP = "__left_strip", "__right_strip"
 _LEFT_STRIPS, _RIGHT_STRIPS = "__left_strips", "__right_strips"
@@ -112,3 +117,112 @@ def pairs_of_group(
         left, right, hot_keys(sizes, keys, limit), keys, f"{member}_1", f"{member}_2"
     )
     return joined.filter(F.col(f"{member}_1") < F.col(f"{member}_2"))
+
+
+def aggregate_matches(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_id: str,
+    right_id: str,
+    aggregates: list[Column],
+    where: Column | None = None,
+    limit: int = MATCHES_PER_CELL,
+    list_rows: int = LIST_ROWS,
+) -> DataFrame:
+    """Join on `keys`, filter, and aggregate per (left_id, right_id).
+
+    Most pairs of ids meet under one or two keys, so combining before the
+    shuffle saves nothing, and shuffling every match is what such a join costs. Here
+    the right rows of a key travel as lists of bounded length: a left row is joined with the
+    lists of its keys, shuffled by its id, and only then unfolded into matches,
+    which are aggregated where they are. The number of partitions follows the number of
+    matches. Keys with many rows are laid out as a grid as above. A left id with more
+    matches than `limit` does not go to one task: its matches are shuffled one
+    by one, by both ids.
+    """
+    by = [left_id, right_id]
+
+    def finish(matches: DataFrame) -> DataFrame:
+        kept = matches if where is None else matches.filter(where)
+        return kept.groupBy(*by).agg(*aggregates)
+
+    sizes = cut_lineage(
+        _rows_per_key(left, keys, "n_left").join(_rows_per_key(right, keys, "n_right"), keys)
+    )
+    total, largest = sizes.agg(
+        F.sum(F.col("n_left").cast("double") * F.col("n_right")), F.max("n_right")
+    ).first()
+    if total is None or total <= min(limit, MATCHES_PER_TASK):
+        return finish(left.join(right, keys))
+    rest = None
+    if total > limit:
+        busy = store(
+            left.select(*keys, left_id)
+            .join(sizes.select(*keys, "n_right"), keys)
+            .groupBy(left_id)
+            .agg(F.sum("n_right").alias("n"))
+            .filter(F.col("n") > limit)
+            .select(left_id)
+        )
+        if busy.rows:
+            rest = finish(
+                spread_join(left.join(busy.sized(), left_id, "left_semi"), right, keys, left_id, right_id, limit)
+            )
+            left = left.join(busy.sized(), left_id, "left_anti")
+    carried = F.struct(*[c for c in right.columns if c not in keys])
+    if largest <= list_rows:
+        lists = right.groupBy(*keys).agg(F.collect_list(carried).alias("__matches"))
+        joined = left.join(lists, keys)
+    else:
+        one, two = (_LEFT_STRIP, _LEFT_STRIPS), (_RIGHT_STRIP, _RIGHT_STRIPS)
+        rows_per_strip = max(1.0, limit / list_rows)
+        hot = store(
+            sizes.filter(F.col("n_right") > list_rows).select(
+                *keys,
+                F.ceil(F.col("n_left") / F.lit(rows_per_strip)).cast("int").alias(_LEFT_STRIPS),
+                F.ceil(F.col("n_right") / F.lit(list_rows)).cast("int").alias(_RIGHT_STRIPS),
+            )
+        ).sized()
+        cell = [*keys, _LEFT_STRIP, _RIGHT_STRIP]
+        lists = (
+            _laid_out(right, hot, keys, right_id, two, one)
+            .groupBy(*cell)
+            .agg(F.collect_list(carried).alias("__matches"))
+        )
+        joined = _laid_out(left, hot, keys, left_id, one, two).join(lists, cell)
+    default = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(min(MOST_TASKS, max(default, total // MATCHES_PER_TASK + 1)))
+    own = [c for c in left.columns if c not in keys]
+    unfolded = joined.select(*own, "__matches").repartition(tasks, left_id).select(*own, F.inline("__matches"))
+    found = finish(unfolded)
+    return found if rest is None else found.unionByName(rest)
+
+
+def aggregate_pairs(
+    df: DataFrame,
+    keys: list[str],
+    member: str,
+    aggregates: list[Column],
+    carry: list[str] | None = None,
+    where: Column | None = None,
+    limit: int = MATCHES_PER_CELL,
+    list_rows: int = LIST_ROWS,
+) -> DataFrame:
+    """`aggregate_matches` of a table with itself: `<member>_1` < `<member>_2`."""
+    columns = [member, *(carry or [])]
+    left = df.select(*keys, *[F.col(c).alias(f"{c}_1") for c in columns])
+    right = df.select(*keys, *[F.col(c).alias(f"{c}_2") for c in columns])
+    one, two = f"{member}_1", f"{member}_2"
+    in_order = F.col(one) < F.col(two)
+    return aggregate_matches(
+        left,
+        right,
+        keys,
+        one,
+        two,
+        aggregates,
+        in_order if where is None else in_order & where,
+        limit,
+        list_rows,
+    )

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coratia.plans.skew import _laid_out, hot_keys, pairs_of_group, spread_join
+from coratia.plans import skew
+from coratia.plans.skew import _laid_out, aggregate_matches, aggregate_pairs, hot_keys, pairs_of_group, spread_join
 from tests.conftest import rows
 
 
@@ -42,3 +43,20 @@ def test_composite_keys_and_no_match(spark):
     left = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, j string, x int")
     right = spark.createDataFrame([(1, "c", 5)], "k int, j string, y int")
     assert rows(spread_join(left, right, ["k", "j"], "x", "y", 1)) == []
+
+
+def test_aggregated_matches(spark, monkeypatch):
+    left = _skewed(spark).withColumn("l", F.col("x") % 17)
+    right = _skewed(spark, 150, "y").withColumn("r", F.col("y") % 11)
+    sums = [F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("s")]
+    where = F.col("x") != F.col("y")
+    plain = rows(left.join(right, "k").filter(where).groupBy("l", "r").agg(*sums))
+    monkeypatch.setattr(skew, "MATCHES_PER_TASK", 100)
+    # Whole lists, lists on a grid, and busy left ids.
+    for limit, list_rows in ((10**9, 10**9), (10**9, 7), (300, 7), (40, 3), (1, 1)):
+        found = aggregate_matches(left, right, ["k"], "l", "r", sums, where, limit, list_rows)
+        assert rows(found) == plain
+    df = _skewed(spark, 90)
+    pairs = rows(pairs_of_group(df, ["k"], "x").groupBy("x_1", "x_2").agg(F.count("*").alias("n")))
+    for limit in (60, 10**9):
+        assert rows(aggregate_pairs(df, ["k"], "x", [F.count("*").alias("n")], limit=limit)) == pairs

@@ -52,7 +52,7 @@ def main() -> None:
     spark = build_session(
         "bench",
         f"local[{cpus}]",
-        threads,
+        threads * int(os.environ.get("BENCH_SPREAD", "1")),
         {"spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")},
     )
     spark.sparkContext.setLogLevel("ERROR")

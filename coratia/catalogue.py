@@ -893,9 +893,11 @@ def sink_edge_betweenness(spark: SparkSession, folder: str) -> DataFrame:
     f"""
 WITH RECURSIVE {_PATHS},
 members AS (SELECT node, min(root) AS community FROM distances GROUP BY node)
-SELECT string_agg(CAST(node AS VARCHAR), ', ' ORDER BY node) AS line FROM members GROUP BY community""",
+SELECT count(*) OVER (PARTITION BY community) || ',' || community || ',' || node AS line FROM members""",
 )
 def sink_communities(spark: SparkSession, folder: str) -> DataFrame:
     path = _scratch(spark)
-    writers.write_communities(components(spark, folder), path, lines=True)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    writers.write_communities(components(spark, folder), path)
+    # The header comes once per part file.
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.filter(F.col("line") != "size,community,node")

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Where every partition of one side turns out this small, hashing it replaces the sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Checkpoint files go once no DataFrame refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from coratia.functions import words
 from coratia.operators import baskets, graph, ids, recommend, similarity, stats
-from coratia.plans.lineage import use_checkpoint_folder
+from coratia.plans.lineage import cut_lineage, use_checkpoint_folder
 from coratia.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,7 +418,7 @@ UNION ALL SELECT 4, concat_ws(',', i1, i2, i3, i4), freq FROM l4"""
 
 @_register("frequent_itemsets", _itemset_sql("SELECT basket, item FROM brands"))
 def frequent_itemsets(spark: SparkSession, folder: str) -> DataFrame:
-    items = baskets.basket_items(_brand_lines(spark, folder), "l_orderkey", "p_brand")
+    items = cut_lineage(baskets.basket_items(_brand_lines(spark, folder), "l_orderkey", "p_brand"))
     return _spelled_items(baskets.frequent_itemsets(items, _support(items)))
 
 
@@ -430,7 +430,8 @@ def frequent_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def frequent_itemsets_filtered(spark: SparkSession, folder: str) -> DataFrame:
-    items = baskets.basket_items(_brand_lines(spark, folder), "l_orderkey", "p_brand", MIN_ITEMS)
+    lines = _brand_lines(spark, folder)
+    items = cut_lineage(baskets.basket_items(lines, "l_orderkey", "p_brand", MIN_ITEMS))
     return _spelled_items(baskets.frequent_itemsets(items, _support(items)))
 
 
@@ -479,7 +480,8 @@ report AS (
 
 
 def _chunked_items(spark: SparkSession, folder: str) -> DataFrame:
-    return baskets.basket_items(_brand_lines(spark, folder), "l_orderkey", "p_brand", chunk="chunk")
+    lines = _brand_lines(spark, folder)
+    return cut_lineage(baskets.basket_items(lines, "l_orderkey", "p_brand", chunk="chunk"))
 
 
 @_register("itemset_report", _SON + " SELECT kind, size, items, freq FROM report")
@@ -521,7 +523,7 @@ def encode_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _signed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    sets = similarity.member_sets(_document_words(spark, folder), "doc_id", "word")
+    sets = cut_lineage(similarity.member_sets(_document_words(spark, folder), "doc_id", "word"))
     codes = ids.id_dictionary(sets, ["member"], "member")
     coded = sets.join(codes, "member").select("item", "code")
     return similarity.signatures(coded, HASHES, HASH_MODULUS)

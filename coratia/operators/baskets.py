@@ -93,12 +93,13 @@ def _next_occurrences(occurrences: DataFrame, limit: int) -> DataFrame:
 
 def _occurrences_of(occurrences: DataFrame, sets: DataFrame) -> DataFrame:
     """Occurrences of given (prefix, last) sets one level up, without making all pairs."""
-    first = occurrences.select("basket", F.col("prefix").alias("shared"), F.col("set_id").alias("prefix"))
+    by = [c for c in ("basket", "chunk") if c in occurrences.columns]
+    first = occurrences.select(*by, F.col("prefix").alias("shared"), F.col("set_id").alias("prefix"))
     second = occurrences.select("basket", F.col("prefix").alias("shared"), "last")
     return (
         first.join(sets, "prefix")
         .join(second, ["basket", "shared", "last"])
-        .select("basket", *sets.columns)
+        .select(*by, *sets.columns)
     )
 
 
@@ -201,6 +202,7 @@ def itemset_report(
     items: DataFrame,
     support: int,
     max_size: int | None = None,
+    big: int = BIG_BASKET,
     limit: int = MATCHES_PER_CELL,
 ) -> DataFrame:
     """(kind, size, items, freq): candidates and frequent sets, level by level.
@@ -217,7 +219,11 @@ def itemset_report(
     chunks = store(
         items.select("chunk", "basket").distinct().groupBy("chunk").agg(F.count(F.lit(1)).alias("n_chunk"))
     )
-    n_baskets = chunks.df.agg(F.sum("n_chunk")).first()[0] or 0
+    n_baskets, smallest = chunks.df.agg(F.sum("n_chunk"), F.min("n_chunk")).first()
+    n_baskets = n_baskets or 0
+    # What the smallest chunk asks of a candidate: a set in fewer baskets is neither kind.
+    least = -(-support * (smallest or 0) // n_baskets) if n_baskets else support
+    n_heavy, in_heavy = 0, None
     raw = items.select(
         "basket", "chunk", F.lit(NO_PREFIX).cast("long").alias("prefix"), F.col("item").alias("last")
     )
@@ -226,6 +232,20 @@ def itemset_report(
     level, size = None, 0
     while max_size is None or size < max_size:
         per_chunk = cut_lineage(_count_sets(raw, ["chunk", *key]))
+        if n_heavy:
+            pool = store(
+                per_chunk.groupBy(*key)
+                .agg(F.sum("freq").alias("freq"))
+                .filter(F.col("freq") >= least - n_heavy)
+                .select(*key)
+            )
+            in_big = _count_sets(_occurrences_of(in_heavy, pool.sized()), ["chunk", *key])
+            per_chunk = cut_lineage(
+                per_chunk.join(pool.sized(), key, "left_semi")
+                .unionByName(in_big)
+                .groupBy("chunk", *key)
+                .agg(F.sum("freq").alias("freq"))
+            )
         candidates = (
             per_chunk.join(chunks.sized(), "chunk")
             .filter(F.col("freq") * F.lit(n_baskets) >= F.lit(support) * F.col("n_chunk"))
@@ -255,6 +275,15 @@ def itemset_report(
             break
         named = frequent.fits(frequent.df.select(*key, "set_id"))
         occurrences = cut_lineage(raw.join(named, key).select("basket", "chunk", *key, "set_id"))
+        if size == 1:
+            single = occurrences.select("basket", F.col("last").alias("item"))
+            heavy = store(big_baskets(single, least, big))
+            n_heavy = heavy.rows
+            if n_heavy:
+                in_heavy = cut_lineage(occurrences.join(heavy.sized(), "basket", "left_semi"))
+                occurrences = cut_lineage(occurrences.join(heavy.sized(), "basket", "left_anti"))
+        elif n_heavy:
+            in_heavy = cut_lineage(_occurrences_of(in_heavy, named))
         raw = _next_occurrences(occurrences, limit)
     if not report:
         return _empty_report(items).select(F.lit("candidate").alias("kind"), "*")
@@ -278,7 +307,15 @@ def son_candidates(
     if prior is None:
         found = items.select("basket", "chunk", F.array("item").alias("items"))
     else:
-        found = _matches(items, _joined_prior(prior))
+        # Pairs of prior sets are made inside the baskets that hold both, never of the whole list.
+        held = _matches(items, prior).select(
+            "basket",
+            "chunk",
+            F.expr("slice(items, 1, size(items) - 1)").alias("head"),
+            F.element_at("items", -1).alias("last"),
+        )
+        pairs = pairs_of_group(cut_lineage(held), ["basket", "chunk", "head"], "last")
+        found = pairs.select("basket", "chunk", F.concat("head", F.array("last_1", "last_2")).alias("items"))
     return (
         found.groupBy("chunk", "items")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -300,32 +337,32 @@ def count_candidates(items: DataFrame, candidates: DataFrame, support: int) -> D
     )
 
 
-def _joined_prior(prior: DataFrame) -> DataFrame:
-    """Sets one item longer, from pairs that agree on all items but the last."""
-    split = cut_lineage(
-        prior.select(
-            F.expr("slice(items, 1, size(items) - 1)").alias("head"),
-            F.element_at("items", -1).alias("last"),
-        ).distinct()
-    )
-    return pairs_of_group(split, ["head"], "last").select(
-        F.concat("head", F.array("last_1", "last_2")).alias("items")
-    )
-
-
 def _matches(items: DataFrame, sets: DataFrame, limit: int = MATCHES_PER_CELL) -> DataFrame:
-    """(basket, chunk, items): which basket holds all items of which set.
+    """(basket, [chunk,] items): which basket holds all items of which set.
 
-    Sets are joined on their items in long form and held if as many items
-    match as the set has. Neither a basket nor the set list is collected.
+    A set meets the baskets of its rarest item first; what is left is narrowed down
+    item by item. Neither a basket nor the list of sets is collected.
     """
     sets = store(sets.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()))
-    wanted = sets.df.select("set_id", F.size("items").alias("n_wanted"), F.explode("items").alias("item"))
-    by = ["basket", "set_id", "n_wanted"] + (["chunk"] if "chunk" in items.columns else [])
-    held = (
-        spread_join(items, wanted, ["item"], "basket", "set_id", limit)
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n_held"))
-        .filter(F.col("n_held") == F.col("n_wanted"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    by_rarity = (
+        sets.df.select("set_id", F.size("items").alias("n_items"), F.explode("items").alias("item"))
+        .join(counts, "item")
+        .groupBy("set_id", "n_items")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order"))
+        .filter(F.size("order") == F.col("n_items"))
     )
-    return held.join(sets.sized(), "set_id").drop("set_id", "n_wanted", "n_held")
+    by_rarity = cut_lineage(by_rarity.select("set_id", "n_items", F.col("order.item").alias("order")))
+    longest = by_rarity.agg(F.max("n_items")).first()[0] or 1
+    first = by_rarity.withColumn("item", F.col("order")[0])
+    held = spread_join(items, first, ["item"], "basket", "set_id", limit)
+    for position in range(1, longest):
+        short = held.filter(F.col("n_items") <= position)
+        narrowed = (
+            held.filter(F.col("n_items") > position)
+            .withColumn("item", F.col("order")[position])
+            .join(items.select("basket", "item"), ["basket", "item"], "left_semi")
+        )
+        held = short.unionByName(narrowed)
+    named = [c for c in items.columns if c != "item"]
+    return held.select(*named, "set_id").join(sets.sized(), "set_id").select(*named, "items")

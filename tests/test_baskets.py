@@ -121,6 +121,8 @@ def test_report_candidates_and_frequent(spark):
     report = baskets.itemset_report(items, support, limit=20)
     frequent = _brute(groups, support)
     assert rows(report.filter("kind = 'frequent'").drop("kind")) == frequent
+    with_big = baskets.itemset_report(items, support, big=3, limit=20)
+    assert {tuple(map(str, r)) for r in with_big.collect()} == {tuple(map(str, r)) for r in report.collect()}
     candidates = rows(report.filter("kind = 'candidate'").select("size", "items"))
     assert candidates == _brute_candidates(groups, lambda i: i % 3, support, frequent)
     assert {(size, items) for size, items, _ in frequent} <= set(candidates)
@@ -150,6 +152,14 @@ def test_single_level_operators(spark):
         assert rows(prior.select("items", "freq")) == [(i, n) for k, i, n in frequent if k == size]
 
 
+def test_counts_of_given_sets_of_different_sizes(spark):
+    groups = ["abc", "ab", "bc", "abcd", "d"]
+    items = baskets.basket_items(_lines(spark, groups), "basket", "item")
+    given = spark.createDataFrame([(list(s),) for s in ("a", "ab", "abc", "cd", "ax", "x")], "items array<string>")
+    found = rows(baskets.count_candidates(items, given, 1))
+    assert found == [(("a",), 3), (("a", "b"), 3), (("a", "b", "c"), 2), (("c", "d"), 1)]
+
+
 def test_empty(spark):
     items = baskets.basket_items(_lines(spark, []), "basket", "item")
     assert baskets.frequent_itemsets(items, 2).collect() == []

@@ -7,14 +7,13 @@ result in DuckDB's dialect.
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coratia.functions import words
 from coratia.operators import baskets, graph, ids, recommend, similarity, stats
-from coratia.plans.lineage import cut_lineage, use_checkpoint_folder
+from coratia.plans.lineage import cut_lineage, fresh_path
 from coratia.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +38,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder for a query that writes and reads back."""
-    use_checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/written-{uuid4().hex}"
+    return fresh_path(spark, "written")
 
 
 # --- parameters of the queries ------------------------------------------------------

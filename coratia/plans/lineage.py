@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,49 +13,87 @@ from pyspark.sql import functions as F
 
 # Tables up to this many (narrow) rows may be sent to every executor.
 BROADCAST_ROWS = 300_000
+# ... if their files, which are compressed, are no larger than this.
+BROADCAST_BYTES = 8 << 20
 
+_own_folders: dict[str, str] = {}
 
-def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Point the context at the folder named in ``spark.checkpoint.dir``.
 
-    Where the setting is missing a temporary folder serves on a local master
-    only; on a cluster a folder of one machine would be lost with it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application inside the one named in ``spark.checkpoint.dir``.
+
+    Where the setting is missing, as in tests, a temporary folder serves on a local
+    master only; on a cluster a folder of one machine would be lost with it.
     """
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="coratia-stored-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        _own_folders[application] = f"{base.rstrip('/')}/coratia-{application}-{uuid.uuid4().hex[:8]}"
+        atexit.register(drop_stored, spark)
+    return _own_folders[application]
+
+
+def fresh_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete everything this application has stored; DataFrames read from it are invalid then."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
+    if context._jsc is None or context._jsc.sc().isStopped():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="coratia-checkpoint-")
-    context.setCheckpointDir(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Run `df` once and continue from its stored rows."""
-    use_checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = _own_folders.pop(context.applicationId, None)
+    if folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @dataclass(frozen=True)
 class Stored:
-    """Stored rows and how many there are."""
+    """Stored rows, how many there are, and how many bytes their files hold."""
 
     df: DataFrame
     rows: int
+    size: int = 0
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.size <= BROADCAST_BYTES
 
     def sized(self) -> DataFrame:
-        """The rows, marked for broadcast if they are few; else joins shuffle as usual."""
-        return F.broadcast(self.df) if self.rows <= BROADCAST_ROWS else self.df
+        """The rows, marked for broadcast if they are few and short; else joins shuffle as usual."""
+        return F.broadcast(self.df) if self.small else self.df
 
     def fits(self, other: DataFrame) -> DataFrame:
         """`other`, known to have no more rows than this table, treated the same way."""
-        return F.broadcast(other) if self.rows <= BROADCAST_ROWS else other
+        return F.broadcast(other) if self.small else other
+
 
+def store(df: DataFrame, name: str = "table") -> Stored:
+    """Write the rows as compressed Parquet to the shared folder, counted on the way, and read them from there.
 
-def store(df: DataFrame) -> Stored:
-    """Cut the lineage and count the rows on the way, without another job."""
+    Later plans read only the columns they need, push their filters down, and
+    depend on no executor that may have been lost.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     counted = Observation()
-    stored = cut_lineage(df.observe(counted, F.count(F.lit(1)).alias("rows")))
-    return Stored(stored, counted.get["rows"])
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    # The schema is known: reading it from the files would be one more job.
+    stored = spark.read.schema(df.schema).parquet(path)
+    return Stored(stored, counted.get["rows"], size)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Run `df` once and continue from its stored rows."""
+    return store(df).df

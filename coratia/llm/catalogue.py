@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coratia.llm import mixing, quality, secrets, simhash
+from coratia.llm import mixing, pieces, quality, secrets, simhash
+
+# The piece model: a path that Spark can read.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +24,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, folder, "documents"), MODEL)
+
+
 @_query
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))

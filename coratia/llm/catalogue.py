@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coratia.llm import language, mixing, neighbours, pieces, quality, secrets, simhash
+from coratia.llm import language, mixing, neighbours, pieces, quality, secrets, sharding, simhash
 
 # The piece model: a path that Spark can read.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,6 +49,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+@_query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.layout(_table(spark, folder, "documents"))
+
+
 @_query
 def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(_table(spark, folder, "embeddings"), neighbours.every(50))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coratia.llm import language, mixing, neighbours, pieces, quality, secrets, sharding, simhash
+from coratia.llm import language, mixing, neighbours, pieces, quality, secrets, sharding, simhash, warc
 
 # The piece model: a path that Spark can read.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +34,11 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(_table(spark, folder, "pages"))
+
+
 @_query
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))

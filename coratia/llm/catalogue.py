@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coratia.llm import language, mixing, neighbours, pieces, quality, secrets, sharding, simhash, warc
+from coratia.llm import language, mixing, neighbours, pieces, preferences, quality, secrets, sharding, simhash, warc
 
 # The piece model: a path that Spark can read.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -59,6 +59,11 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.layout(_table(spark, folder, "documents"))
 
 
+@_query
+def op8_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    return preferences.preference_rows(preferences.neighbouring_pairs(_table(spark, folder, "conversations")))
+
+
 @_query
 def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(_table(spark, folder, "embeddings"), neighbours.every(50))

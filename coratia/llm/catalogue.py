@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from coratia.llm import language, mixing, neighbours, pieces, preferences, quality, secrets, sharding, simhash, warc
+from coratia.llm.sql import SQL as SQL
 
 # The piece model: a path that Spark can read.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

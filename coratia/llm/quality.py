@@ -180,12 +180,12 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rules: tuple[str, ...], rounds
 
 
 def _with_features(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("__q", features(text))
+    return docs.withColumn("__quality_features", features(text))
 
 
 def learn(docs: DataFrame, text: str = "text") -> VoteModel:
     """Fit the rules' vote tables on all rows; combined per task, so a few rows per task are shuffled."""
-    ballots = votes("__q")
+    ballots = votes("__quality_features")
     measured = docs.select(text).transform(_with_features, text)
     patterns = (
         measured.select(*[v.alias(k) for k, v in ballots.items()]).groupBy(*ballots).agg(F.count(F.lit(1)).alias("n"))
@@ -202,17 +202,17 @@ def judge(docs: DataFrame, text: str = "text", model: VoteModel | None = None, k
     model = model or learn(docs, text)
     added = [*BASE, "base_failed", "p_good", "kept"]
     measured = _with_features(docs.drop(*[c for c in added if c in docs.columns and c != text]), text)
-    n, again = F.col("__q.n_words"), F.col("__q.n_repeat_words")
+    n, again = F.col("__quality_features.n_words"), F.col("__quality_features.n_repeat_words")
     judged = measured.withColumns(
         {
             "base_failed": (n < FEWEST_WORDS) | (100 * again > MOST_REPEATED * n),
-            "p_good": model.posterior(votes("__q")),
+            "p_good": model.posterior(votes("__quality_features")),
         }
     )
     kept = ~F.col("base_failed") & (F.col("p_good") >= keep_from)
     return judged.select(
         *[c for c in docs.columns if c not in added],
-        *[F.col(f"__q.{c}").alias(c) for c in BASE],
+        *[F.col(f"__quality_features.{c}").alias(c) for c in BASE],
         "base_failed",
         "p_good",
         kept.alias("kept"),

@@ -129,20 +129,10 @@ def _listed(spans: str) -> Column:
     )
 
 
-def scan(
-    docs: DataFrame,
-    text: str = "text",
-    repository: str = "doc_id",
-    owner: str = "source",
-    example_owners: int = EXAMPLE_OWNERS,
-    carry: list[str] | None = None,
+def _scanned(
+    docs: DataFrame, text: str, repository: str, owner: str, example_owners: int, carry: list[str]
 ) -> DataFrame:
-    """Columns `carry` (default: the repository) of `docs`, with the spans found in each row.
-
-    base: array of (start, rank, stop, value) of the base kinds; wide: those of the wider kinds that
-    look live; examples: values, of any kind, that `example_owners` or more owners hold.
-    """
-    carry = [repository] if carry is None else carry
+    """__carry, a struct of the columns `carry`, and the spans found in each row."""
     rows = docs.select(
         F.struct(*carry).alias("__carry"),
         F.col(repository).cast("string").alias("__repository"),
@@ -171,10 +161,28 @@ def scan(
     plain = found.filter((F.size("__base") == 0) & (F.size("__wide") == 0)).withColumn("__examples", nothing)
     live = F.expr("filter(__wide, w -> not array_contains(__examples, w.value))")
     return labelled.unionByName(plain).select(
-        "__carry.*", F.col("__base").alias("base"), live.alias("wide"), F.col("__examples").alias("examples")
+        "__carry", F.col("__base").alias("base"), live.alias("wide"), F.col("__examples").alias("examples")
     )
 
 
+def scan(
+    docs: DataFrame,
+    text: str = "text",
+    repository: str = "doc_id",
+    owner: str = "source",
+    example_owners: int = EXAMPLE_OWNERS,
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """Columns `carry` (default: the repository) of `docs`, with the spans found in each row.
+
+    base: array of (start, rank, stop, value) of the base kinds; wide: those of the wider kinds that
+    look live; examples: values, of any kind, that `example_owners` or more owners hold.
+    """
+    found = _scanned(docs, text, repository, owner, example_owners, [repository] if carry is None else carry)
+    own = [c for c in (carry or [repository]) if c not in ("base", "wide", "examples")]
+    return found.select(*[F.col(f"__carry.{c}").alias(c) for c in own], "base", "wide", "examples")
+
+
 def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The columns of the query: counts, the hash of the base spans, all spans, and how many are examples."""
 
@@ -221,8 +229,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """`docs`, all rows and columns, with the secrets in the text blanked out: base spans, and wider ones that look live."""
-    scanned = scan(docs, text, repository, owner, example_owners, carry=docs.columns)
+    scanned = _scanned(docs, text, repository, owner, example_owners, docs.columns)
     spans = F.array_sort(F.concat("base", "wide"))
     return scanned.select(
-        *[(redacted(F.col(c), spans) if c == text else F.col(c)).alias(c) for c in docs.columns]
+        *[(redacted(F.col(f"__carry.{c}"), spans) if c == text else F.col(f"__carry.{c}")).alias(c) for c in docs.columns]
     )

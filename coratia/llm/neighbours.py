@@ -98,9 +98,9 @@ class Graph:
         between = 1 - points @ points.T
         alive, kept = np.ones(len(candidates), bool), []
         while len(kept) < self.degree:
-            k = int(np.argmax(alive))
-            if not len(alive) or not alive[k]:
+            if not alive.any():
                 break
+            k = int(np.argmax(alive))
             kept.append(k)
             alive &= self.alpha * between[k] > own
             alive[k] = False

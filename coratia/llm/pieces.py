@@ -30,7 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 
-REMEMBERED = 400_000  # words per worker
-SLICE = 256  # texts encoded together
+REMEMBERED = 200_000  # words per worker
+SLICE = 512  # texts encoded together
 _LONG = 64  # longer words are searched a few at a time
 _NONE = -1
 _NEVER = np.iinfo(np.int64).max
@@ -191,7 +191,8 @@ class Machine:
         self._compile_trie()
         self._compile_cuts()
         worst = min((model.scores[i] for i in matched), default=0.0)
-        self.weights = -np.array([*model.scores, worst - UNKNOWN_PENALTY])
+        # Single precision, as the scores are: so paths that tie but for rounding fall the usual way.
+        self.weights = -np.array([*model.scores, worst - UNKNOWN_PENALTY], np.float32)
         self.bytes = {int(model.pieces[i][3:5], 16): i for i in range(size) if model.kinds[i] == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.alone: np.ndarray | None = None
@@ -381,7 +382,7 @@ class Machine:
         order = np.argsort(start, kind="stable")
         word, start, size, token = word[order], start[order], size[order], token[order]
         borders = np.searchsorted(start, np.arange(most + 1))
-        weight = np.full((n, most + 1), np.inf)
+        weight = np.full((n, most + 1), np.inf, np.float32)
         weight[:, 0] = 0
         last = np.full((n, most + 1), _NONE, np.int64)
         origin = np.zeros((n, most + 1), np.int64)
@@ -508,6 +509,13 @@ def read_model(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Pieces of the batches: what comes out of a piece is sent on before the next is looked at."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _lists(found: list[np.ndarray | None]) -> pa.Array:
     sizes = [0 if x is None else len(x) for x in found]
     values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)])
@@ -523,9 +531,8 @@ def encoder(spark: SparkSession, model: str):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compiled = machine(shared.value)
-        for batch in batches:
-            done = [compiled.encode(batch.slice(at, SLICE).to_pylist()) for at in range(0, len(batch), SLICE)]
-            yield _lists(list(chain.from_iterable(done)))
+        for part in _slices(batches):
+            yield _lists(compiled.encode(part.to_pylist()))
 
     return encode
 
@@ -537,10 +544,10 @@ def decoder(spark: SparkSession, model: str):
     @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compiled = machine(shared.value)
-        for batch in batches:
+        for part in _slices(batches):
             texts = []
-            for at in range(len(batch)):
-                ids = batch[at].values
+            for at in range(len(part)):
+                ids = part[at].values
                 texts.append(None if ids is None else compiled.decode(ids.to_numpy(zero_copy_only=False)))
             yield pa.array(texts, pa.string())
 
@@ -558,8 +565,23 @@ def decode_ids(rows: DataFrame, model: str, ids: str = "ids", text: str = "text"
 
 
 def round_trip(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ids, n_ids, same): the ids of each text, and whether decoding them gives the text back."""
-    rows = docs.select(F.col(id_column), F.col(text).cast("string").alias("__text"))
-    encoded = encode_texts(rows, model, "__text", "ids")
-    same: Column = F.col("__text").eqNullSafe(decoder(docs.sparkSession, model)(F.col("ids")))
-    return encoded.select(id_column, "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("same"))
+    """(id, ids, n_ids, same): the ids of each text, and whether decoding them gives the text back.
+
+    Both ways in one function, so that a worker compiles the model once and the ids are not sent twice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, model))
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+
+    @F.arrow_udf(kind)
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        compiled = machine(shared.value)
+        for part in _slices(batches):
+            texts = part.to_pylist()
+            found = compiled.encode(texts)
+            same = [t is None if x is None else compiled.decode(x) == t for t, x in zip(texts, found)]
+            yield pa.StructArray.from_arrays([_lists(found), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    rows = docs.select(F.col(id_column), both(F.col(text).cast("string")).alias("__found"))
+    return rows.select(
+        id_column, "__found.ids", F.size("__found.ids").cast("long").alias("n_ids"), F.col("__found.same").alias("same")
+    )

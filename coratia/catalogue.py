@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coratia.functions import words
 from coratia.operators import baskets, graph, ids, recommend, similarity, stats
@@ -51,8 +52,8 @@ CHUNKS = 3
 REQUESTS_FROM = "2001-01-01"
 GRAPH_THRESHOLD = 36
 COMMUNITY_THRESHOLD = 39
-# Enough for the words of the documents at any scale used here.
-HASHES, HASH_MODULUS = similarity.hash_family(similarity.BANDS * similarity.ROWS, 10_000_000)
+# The prime 2 ** 31 - 1, above the number of words at any scale.
+HASHES, HASH_MODULUS = similarity.hash_family(similarity.BANDS * similarity.ROWS, 2**31 - 2)
 
 
 # --- inputs -----------------------------------------------------------------------
@@ -134,7 +135,7 @@ def _document_words(spark: SparkSession, folder: str) -> DataFrame:
 
 _WORDS = """
 words AS (
-  SELECT DISTINCT doc_id AS item, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS member
+  SELECT DISTINCT doc_id AS item, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS member
   FROM documents
 ),
 sizes AS (SELECT item, count(*) AS n FROM words GROUP BY item),
@@ -407,11 +408,21 @@ l4 AS (
   JOIN kept c ON c.basket = a.basket AND c.item = i3
   JOIN kept d ON d.basket = a.basket AND d.item > i3
   GROUP BY 1, 2, 3, 4 HAVING count(*) >= {support}
+),
+l5 AS (
+  SELECT i1, i2, i3, i4, e.item AS i5, count(*) AS freq
+  FROM l4 JOIN kept a ON a.item = i1
+  JOIN kept b ON b.basket = a.basket AND b.item = i2
+  JOIN kept c ON c.basket = a.basket AND c.item = i3
+  JOIN kept d ON d.basket = a.basket AND d.item = i4
+  JOIN kept e ON e.basket = a.basket AND e.item > i4
+  GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= {support}
 )
 SELECT 1 AS size, item AS items, freq FROM l1
 UNION ALL SELECT 2, concat_ws(',', i1, i2), freq FROM l2
 UNION ALL SELECT 3, concat_ws(',', i1, i2, i3), freq FROM l3
-UNION ALL SELECT 4, concat_ws(',', i1, i2, i3, i4), freq FROM l4"""
+UNION ALL SELECT 4, concat_ws(',', i1, i2, i3, i4), freq FROM l4
+UNION ALL SELECT 5, concat_ws(',', i1, i2, i3, i4, i5), freq FROM l5"""
 
 
 @_register("frequent_itemsets", _itemset_sql("SELECT basket, item FROM brands"))
@@ -466,14 +477,30 @@ c3 AS (
   WHERE freq * n_baskets >= support * n_chunk
 ),
 l3 AS (SELECT i1, i2, i3, sum(freq) AS freq FROM n3, n GROUP BY 1, 2, 3 HAVING sum(freq) >= any_value(support)),
+n4 AS (
+  SELECT x.i1 AS i1, x.i2 AS i2, x.i3 AS i3, y.i3 AS i4, a.chunk AS chunk, count(*) AS freq
+  FROM l3 x JOIN l3 y ON x.i1 = y.i1 AND x.i2 = y.i2 AND x.i3 < y.i3
+  JOIN kept a ON a.item = x.i1
+  JOIN kept b ON b.basket = a.basket AND b.item = x.i2
+  JOIN kept c ON c.basket = a.basket AND c.item = x.i3
+  JOIN kept d ON d.basket = a.basket AND d.item = y.i3
+  GROUP BY 1, 2, 3, 4, 5
+),
+c4 AS (
+  SELECT DISTINCT i1, i2, i3, i4 FROM n4 JOIN chunks USING (chunk), n
+  WHERE freq * n_baskets >= support * n_chunk
+),
+l4 AS (SELECT i1, i2, i3, i4, sum(freq) AS freq FROM n4, n GROUP BY 1, 2, 3, 4 HAVING sum(freq) >= any_value(support)),
 report AS (
   SELECT 'candidate' AS kind, 1 AS size, item AS items, CAST(NULL AS BIGINT) AS freq FROM c1
   WHERE EXISTS (SELECT 1 FROM l1)
   UNION ALL SELECT 'candidate', 2, concat_ws(',', i1, i2), NULL FROM c2 WHERE EXISTS (SELECT 1 FROM l2)
   UNION ALL SELECT 'candidate', 3, concat_ws(',', i1, i2, i3), NULL FROM c3 WHERE EXISTS (SELECT 1 FROM l3)
+  UNION ALL SELECT 'candidate', 4, concat_ws(',', i1, i2, i3, i4), NULL FROM c4 WHERE EXISTS (SELECT 1 FROM l4)
   UNION ALL SELECT 'frequent', 1, item, freq FROM l1
   UNION ALL SELECT 'frequent', 2, concat_ws(',', i1, i2), CAST(freq AS BIGINT) FROM l2
   UNION ALL SELECT 'frequent', 3, concat_ws(',', i1, i2, i3), CAST(freq AS BIGINT) FROM l3
+  UNION ALL SELECT 'frequent', 4, concat_ws(',', i1, i2, i3, i4), CAST(freq AS BIGINT) FROM l4
 )"""
 
 
@@ -485,7 +512,7 @@ def _chunked_items(spark: SparkSession, folder: str) -> DataFrame:
 @_register("itemset_report", _SON + " SELECT kind, size, items, freq FROM report")
 def itemset_report(spark: SparkSession, folder: str) -> DataFrame:
     items = _chunked_items(spark, folder)
-    return _spelled_items(baskets.itemset_report(items, _support(items), max_size=3))
+    return _spelled_items(baskets.itemset_report(items, _support(items)))
 
 
 @_register("son_candidates", _SON + " SELECT concat_ws(',', i1, i2) AS items FROM c2")
@@ -870,7 +897,7 @@ SELECT kind, size, '["' || replace(items, ',', '","') || '"]' AS items, freq FRO
 def sink_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     path = _scratch(spark)
     items = _chunked_items(spark, folder)
-    writers.write_itemsets(baskets.itemset_report(items, _support(items), max_size=3), path)
+    writers.write_itemsets(baskets.itemset_report(items, _support(items)), path)
     schema = "kind string, size int, items string, freq bigint"
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
@@ -901,3 +928,93 @@ def sink_communities(spark: SparkSession, folder: str) -> DataFrame:
     # The header comes once per part file.
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     return lines.filter(F.col("line") != "size,community,node")
+
+
+# --- the method switch, and the sinks of predictions, pairs and statistics -------------
+
+
+@_register("predict_user", SQL["cf_user"])
+def predict_user(spark: SparkSession, folder: str) -> DataFrame:
+    train, requests = _train_and_requests(spark, folder)
+    return _rated_answers(recommend.predict(train, requests, method=2, order_by=_RATED_ORDER))
+
+
+@_register("predict_item", SQL["cf_item"])
+def predict_item(spark: SparkSession, folder: str) -> DataFrame:
+    train, requests = _train_and_requests(spark, folder)
+    return _rated_answers(recommend.predict(train, requests, method=3, order_by=_RATED_ORDER))
+
+
+@_register(
+    "als_cold_start",
+    f"""
+WITH {_RATED}
+SELECT count(*) AS requests,
+       count(*) FILTER (WHERE u NOT IN (SELECT u FROM train) OR b NOT IN (SELECT b FROM train)) AS cold
+FROM requests""",
+)
+def als_cold_start(spark: SparkSession, folder: str) -> DataFrame:
+    train, requests = _train_and_requests(spark, folder)
+    predicted = recommend.predict(train, requests, method=1)
+    return predicted.agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("rating") == recommend.ALS_COLD_START).alias("cold")
+    )
+
+
+@_register(
+    "als_equations",
+    f"WITH {_RATED} SELECT CAST(u AS VARCHAR) AS user_id, count(*) AS n, true AS holds FROM train GROUP BY u",
+)
+def als_equations(spark: SparkSession, folder: str) -> DataFrame:
+    train, _ = _train_and_requests(spark, folder)
+    found = recommend.als_residuals(train)
+    return found.select("user_id", "n", (F.col("residual") < 1e-4).alias("holds"))
+
+
+@_register(
+    "sink_predictions", f"SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(business_id AS VARCHAR) AS business_id, rating FROM ({SQL['cf_item']})"
+)
+def sink_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    writers.write_csv(cf_item(spark, folder), path)
+    schema = "user_id string, business_id string, rating double"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@_register(
+    "sink_similar_pairs",
+    f"SELECT id_1, id_2, similarity, row_number() OVER (ORDER BY id_1, id_2) - 1 AS place FROM ({SQL['jaccard_exact']})",
+)
+def sink_similar_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    writers.write_csv(jaccard_exact(spark, folder), path, ["id_1", "id_2"])
+    schema = "id_1 bigint, id_2 bigint, similarity double"
+    lines = readers.with_line_order(spark.read.schema(schema).option("header", True).csv(path), "line")
+    return ids.dense_codes(lines, [F.asc("line")], "place").drop("line")
+
+
+@_register("sink_statistics", SQL["review_summary"])
+def sink_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    writers.write_json(review_summary(spark, folder), path)
+    schema = (
+        "n_review_useful bigint, n_review_5_star bigint, n_characters bigint, n_user bigint, top20_user string, "
+        "n_business bigint, top20_business string"
+    )
+    return readers.read_json_lines(spark, path, _parsed(schema))
+
+
+def _parsed(schema: str) -> T.StructType:
+    return T.StructType.fromDDL(schema)
+
+
+@_register(
+    "source_literal",
+    "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1",
+)
+def source_literal(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = readers.literal_lines(spark, ["F", "O", "P"]).select(F.col("value").alias("o_orderstatus"))
+    orders = _table(spark, folder, "orders").select("o_orderstatus")
+    return stats.count_per_key(orders.join(wanted, "o_orderstatus"), "o_orderstatus").withColumnRenamed(
+        "o_orderstatus", "status"
+    )

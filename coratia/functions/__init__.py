@@ -6,14 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def words(text: Column, pattern: str = "[a-z]+") -> Column:
+# Runs of letters of any script.
+WORD = r"\p{L}+"
+
+
+def words(text: Column, pattern: str = WORD) -> Column:
     """Lower-case words of a text, as an array."""
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def linear_hash(value: Column, a: int, b: int, modulus: int) -> Column:
-    """(a * value + b) mod modulus."""
-    return F.pmod(F.lit(a).cast("long") * value + F.lit(b).cast("long"), F.lit(modulus).cast("long"))
+    """(a * value + b) mod modulus, without overflow."""
+    if modulus <= 1 << 31:
+        small = F.pmod(value.cast("long"), F.lit(modulus).cast("long"))
+        return F.pmod(F.lit(a % modulus).cast("long") * small + F.lit(b % modulus).cast("long"), F.lit(modulus).cast("long"))
+    wide = F.lit(a).cast("decimal(19,0)") * value.cast("decimal(19,0)") + F.lit(b).cast("decimal(19,0)")
+    return F.pmod(wide.cast("decimal(38,0)"), F.lit(modulus).cast("decimal(38,0)")).cast("long")
 
 
 def jaccard(overlap: Column, size_1: Column, size_2: Column) -> Column:

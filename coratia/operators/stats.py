@@ -43,13 +43,11 @@ def review_summary(
 ) -> DataFrame:
     """All statistics of the review report in one row.
 
-    The two top lists are arrays of at most `k` (key, count) structs. The text
-    is reduced to its length before anything is shuffled, and the tops come
+    The two top lists are arrays of at most `k` (key, count) structs; the distinct
+    counts are the numbers of their keys. The text is reduced to its length before anything is shuffled, and the tops come
     from map-side combined counts.
     """
     scalars = reviews.select(
-        F.col(user).alias("u"),
-        F.col(item).alias("b"),
         (F.col(useful) > 0).alias("is_useful"),
         (F.col(stars) == 5.0).alias("is_five"),
         F.length(text).cast("long").alias("chars"),
@@ -57,14 +55,12 @@ def review_summary(
         F.count_if("is_useful").alias("n_review_useful"),
         F.count_if("is_five").alias("n_review_5_star"),
         F.max("chars").alias("n_characters"),
-        F.count_distinct("u").alias("n_user"),
-        F.count_distinct("b").alias("n_business"),
     )
     one = F.lit(1).alias("one")
     return (
         scalars.select("*", one)
-        .join(_top_list(reviews, user, k, "top20_user"), "one")
-        .join(_top_list(reviews, item, k, "top20_business"), "one")
+        .join(_top_list(reviews, user, k, "top20_user", "n_user"), "one")
+        .join(_top_list(reviews, item, k, "top20_business", "n_business"), "one")
         .select(
             "n_review_useful",
             "n_review_5_star",
@@ -77,14 +73,19 @@ def review_summary(
     )
 
 
-def _top_list(reviews: DataFrame, key: str, k: int, name: str) -> DataFrame:
-    """The top list as one array in one row; `k` rows at most are collected."""
+def _top_list(reviews: DataFrame, key: str, k: int, name: str, distinct: str) -> DataFrame:
+    """The top list as one array in one row, of `k` rows at most, and how many distinct keys there are.
+
+    Both are read off the same counts per key, which Spark makes once.
+    """
+    counts = count_per_key(reviews, key)
     entry = F.struct((-F.col("n")).alias("order"), F.col(key).alias("id"), "n")
-    ranked = top_keys(reviews, key, k).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    return ranked.select(
+    ranked = counts.orderBy(F.desc("n"), F.asc(key)).limit(k).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    top = ranked.select(
         F.lit(1).alias("one"),
         F.transform("entries", lambda e: F.struct(e["id"].alias("id"), e["n"].alias("n"))).alias(name),
     )
+    return top.join(counts.agg(F.count(key).alias(distinct)).withColumn("one", F.lit(1)), "one")
 
 
 def average_by_attribute(

@@ -63,7 +63,7 @@ def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(queries())
     spark = build_session(
-        "check", "local[8]", 8, {"spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        "check", "local[8]", 8, {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)

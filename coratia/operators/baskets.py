@@ -170,7 +170,8 @@ def frequent_itemsets(
         occurrences = cut_lineage(occurrences.join(heavy.sized(), "basket", "left_anti"))
     key = ["prefix", "last"]
     while max_size is None or size < max_size:
-        raw = _next_occurrences(occurrences, limit)
+        # Counted and then joined with the frequent sets: made once.
+        raw = cut_lineage(_next_occurrences(occurrences, limit))
         counted = _count_sets(raw, key)
         if n_heavy:
             candidates = store(counted.filter(F.col("freq") >= support - n_heavy))
@@ -284,7 +285,8 @@ def itemset_report(
                 occurrences = cut_lineage(occurrences.join(heavy.sized(), "basket", "left_anti"))
         elif n_heavy:
             in_heavy = cut_lineage(_occurrences_of(in_heavy, named))
-        raw = _next_occurrences(occurrences, limit)
+        # Counted and then joined with the frequent sets: made once.
+        raw = cut_lineage(_next_occurrences(occurrences, limit))
     if not report:
         return _empty_report(items).select(F.lit("candidate").alias("kind"), "*")
     return _union(report)
@@ -319,7 +321,7 @@ def son_candidates(
     return (
         found.groupBy("chunk", "items")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(chunks, "chunk")
+        .join(store(chunks).sized(), "chunk")
         .filter(F.col("n") * F.lit(n_baskets) >= F.lit(support) * F.col("n_chunk"))
         .select("items")
         .distinct()

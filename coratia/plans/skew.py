@@ -70,9 +70,10 @@ def _laid_out(
 def _grid_join(
     left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str], left_id: str, right_id: str
 ) -> DataFrame:
-    if hot.isEmpty():
+    stored = store(hot)
+    if stored.rows == 0:
         return left.join(right, keys)
-    hot = cut_lineage(hot)
+    hot = stored.sized()
     one, two = (_LEFT_STRIP, _LEFT_STRIPS), (_RIGHT_STRIP, _RIGHT_STRIPS)
     return (
         _laid_out(left, hot, keys, left_id, one, two)

@@ -46,6 +46,10 @@ EXAMPLE_OWNERS = 3
 _MARK, _OTHER = "\ufdd0", "\ufdd1"  # two code points that Unicode reserves for internal use
 
 
+# Pieces gone through together; an even number.
+_BLOCK = 1_000
+
+
 def _pieces(text: Column, pattern: str, marked: Column) -> Column:
     """Text outside and inside the matches in turns, beginning outside; no match: the whole text."""
     wrapped = F.regexp_replace(marked, pattern, f"{_MARK}$0{_MARK}")
@@ -54,14 +58,20 @@ def _pieces(text: Column, pattern: str, marked: Column) -> Column:
 
 def _spans(pieces: Column, keep: str, rank: int, value: str) -> Column:
     """Array of (start, rank, stop, value) of the matches whose piece `p` satisfies the SQL condition `keep`."""
-    # The state holds the position and the spans so far; every second piece is a match.
+    # Every second piece is a match. Pieces are gone through in blocks, which begin outside a match: what is found
+    # in a block is added to what was found before once, so a text of very many matches is not copied for each.
     empty = "cast(array() as array<struct<start: long, rank: int, stop: long, value: string>>)"
-    template = (
-        "aggregate({pieces}, named_struct('at', 0L, 'inside', false, 'found', {empty}), (s, p) -> named_struct("
-        "'at', s.at + length(p), 'inside', not s.inside, 'found', if(s.inside and ({keep}), concat(s.found, array("
-        "named_struct('start', s.at, 'rank', {rank}, 'stop', s.at + length(p), 'value', {value}))), s.found)), s -> s.found)"
+    span = f"named_struct('start', t.at, 'rank', {rank}, 'stop', t.at + length(p), 'value', {value})"
+    block = (
+        f"aggregate(slice({pieces}, b * {_BLOCK} + 1, {_BLOCK}), named_struct('at', s.at, 'inside', false, 'found', {empty}),"
+        f" (t, p) -> named_struct('at', t.at + length(p), 'inside', not t.inside, 'found',"
+        f" if(t.inside and ({keep}), concat(t.found, array({span})), t.found)),"
+        " t -> named_struct('at', t.at, 'found', if(size(t.found) = 0, s.found, concat(s.found, t.found))))"
+    )
+    return F.expr(
+        f"aggregate(sequence(0, cast((size({pieces}) - 1) div {_BLOCK} as int)), named_struct('at', 0L, 'found', {empty}),"
+        f" (s, b) -> {block}, s -> s.found)"
     )
-    return F.expr(template.format(pieces=pieces, empty=empty, keep=keep, rank=rank, value=value))
 
 
 def _quoted(pattern: str) -> str:

@@ -36,6 +36,7 @@ TEXTS = [
     "paſſword=abcdefghijk toKen=abcdefghijk",
     "secret\n=abcdefghijk secret \x20 :  \"abcdefghijk",
     "token=abcdefgh1 " * 300,
+    "é token=abcdefgh1" * 3_000,
 ]
 
 

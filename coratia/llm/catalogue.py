@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coratia.llm import language, mixing, neighbours, pieces, preferences, quality, secrets, sharding, simhash, warc
 from coratia.llm.sql import SQL as SQL
@@ -71,4 +72,5 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    judged = quality.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return judged.withColumn("p_good", F.round("p_good", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coratia.llm import mixing, preferences, secrets
+from coratia.llm import mixing, preferences, quality, secrets
 
 
 def _text(value: str) -> str:
@@ -209,7 +209,105 @@ from placed group by pair_id, piece
 """
 
 
+# The rules of the votes, as conditions for bad and for good, over the counts of a text.
+_RULES = {
+    "symbols": ("symbols > 0.2", "symbols < 0.02"),
+    "symbol_share": ("share > 0.04", "share < 0.004"),
+    "symbol_ends": ("ends > 0.15", "ends < 0.01"),
+    "bare_words": ("bare > 0.15", "bare < 0.02"),
+    "repeated_words": ("again > 0.35", "again < 0.1"),
+    "repeated_lines": ("lines > 0.4 and n_dup_lines > 2", "lines < 0.2"),
+    "stutters": ("stutters > 0.2", "stutters < 0.05"),
+    "variety": (
+        "distincts < case when n_words >= 2000 then 0.05 else 0.15 end",
+        "distincts > case when n_words >= 2000 then 0.1 else 0.3 end",
+    ),
+    "capitals": ("upper_ > 0.3", "upper_ < 0.1"),
+    "marks": ("marks > 0.3", "marks < 0.05"),
+    "word_length": ("mean < 2.5 or mean > 12", "mean between 3 and 9"),
+}
+
+
+def quality_sql() -> str:
+    word, blank = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+
+    def found(characters: str) -> str:
+        return f"length(body) - length(regexp_replace(body, '{characters}', '', 'g'))"
+
+    votes = ", ".join(
+        f"case when ({bad}) is null then 0 when {bad} then -1 when {good} then 1 else 0 end v_{rule}"
+        for rule, (bad, good) in _RULES.items()
+    )
+    names = ", ".join(f"v_{rule}" for rule in _RULES)
+    bad_votes = " + ".join(f"(v_{rule} = -1)::int" for rule in _RULES)
+    ballots = " union all ".join(f"select pid, '{rule}' as rule, v_{rule} as vote from patterns" for rule in _RULES)
+    cells = ", ".join(f"('{rule}', {vote})" for rule in _RULES for vote in (-1, 0, 1))
+    rounds = []
+    for k in range(1, quality.ROUNDS + 1):
+        rounds.append(f"""
+s{k} as materialized (
+    select c.rule, c.vote, sum(case when b.vote = c.vote then good * n else 0 end) + {quality.SMOOTH}::double a,
+        sum(case when b.vote = c.vote then (1 - good) * n else 0 end) + {quality.SMOOTH}::double z
+    from cells c join ballots b on b.rule = c.rule join g{k - 1} using (pid) group by 1, 2
+),
+o{k} as materialized (
+    select rule, vote, case vote when -1 then least(x, 0) when 1 then greatest(x, 0) else x end x from (
+        select rule, vote, ln(a / sum(a) over (partition by rule)) - ln(z / sum(z) over (partition by rule)) x from s{k})
+),
+b{k} as materialized (
+    select ln(share / (1 - share)) bias from (select (sum(good * n) + {quality.SMOOTH}) / (sum(n) + 2 * {quality.SMOOTH}) share from g{k - 1})
+),
+g{k} as materialized (
+    select pid, any_value(n) n, 1 / (1 + exp(-(any_value(bias) + sum(x)))) good
+    from g{k - 1} join ballots using (pid) join o{k} using (rule, vote), b{k} group by pid
+)""")
+    return rf"""
+with texts as (
+    select doc_id, coalesce(text, '') body, regexp_extract_all(coalesce(text, ''), '{word}') w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{blank}')) l
+    from documents
+),
+windows as (
+    select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) times
+    from (select doc_id, w, unnest(range(1, len(w) - 1)) i from texts)
+),
+covered as (
+    select doc_id, count(distinct at_) n from (select doc_id, unnest([i, i + 1, i + 2]) at_ from windows where times > 1) group by doc_id
+),
+counts as (
+    select t.doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+        {found("[#*$%&|<>]")} n_symbols, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(c.n, 0) n_repeat_words,
+        len(l) n_lines, {found("[A-Z]")} n_upper, len(list_distinct(w)) n_distinct,
+        len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) n_ends,
+        len(list_filter(w, lambda x: not regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) n_bare,
+        {found("[!?]")} n_marks, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) n_stutters
+    from texts t left join covered c using (doc_id)
+),
+shares as (
+    select *, n_symbols / nullif(n_words, 0)::double symbols, n_symbols / nullif(word_chars, 0)::double share,
+        n_ends / nullif(n_words, 0)::double ends, n_bare / nullif(n_words, 0)::double bare, n_repeat_words / nullif(n_words, 0)::double again,
+        n_dup_lines / nullif(n_lines, 0)::double lines, n_stutters / nullif(n_words, 0)::double stutters,
+        n_distinct / nullif(n_words, 0)::double distincts, n_upper / nullif(word_chars, 0)::double upper_,
+        n_marks / nullif(n_words, 0)::double marks, word_chars / nullif(n_words, 0)::double mean
+    from counts
+),
+voted as materialized (select *, {votes} from shares),
+patterns as materialized (select *, row_number() over (order by {names}) pid from (select {names}, count(*) n from voted group by all)),
+ballots as materialized ({ballots}),
+cells(rule, vote) as (values {cells}),
+g0 as materialized (select pid, n, case when {bad_votes} >= 2 then {1 - quality.PRIOR!r} else {quality.PRIOR} end::double good from patterns),
+{", ".join(rounds)}
+select doc_id, n_words::bigint n_words, word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
+    n_repeat_words::bigint n_repeat_words,
+    n_words < {quality.FEWEST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words base_failed,
+    round(good, 6) p_good,
+    not (n_words < {quality.FEWEST_WORDS} or 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) and good >= {quality.KEEP_FROM} kept
+from voted join patterns using ({names}) join g{quality.ROUNDS} using (pid)
+"""
+
+
 SQL = {
+    "op10_quality": quality_sql(),
     "op3_warc": warc_sql(),
     "op5_secrets": secrets_sql(),
     "op6_mixing": mixing_sql(),

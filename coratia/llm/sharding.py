@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coratia.plans.lineage import store
+from coratia.plans.lineage import fresh_path, store
 
 SHARDS = 16
 OLD_SHARDS = 12
@@ -225,19 +225,53 @@ def write_shards(placed: DataFrame, folder: str, rows_per_file: int = 1_000_000)
         .drop("__part")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("shard")
         .parquet(folder)
     )
     return touched
 
 
-def layout(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, id_column: str = "doc_id") -> DataFrame:
-    """The columns of the query: `docs`, laid out by key over `old_shards`, resharded to `shards` of equal bytes."""
-    placed = reshard(docs, key_shard(id_column, old_shards), shards, id_column)
-    return placed.select(
-        id_column,
-        "size",
-        "text_crc32",
+def rewrite(
+    docs: DataFrame, shards: int, old_shards: int, id_column: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, list[int]]:
+    """Write `docs` by key over `old_shards`, then the shards that resharding changes; all rows read back, and the shards written.
+
+    The rows read back are (row, old_shard, shard, slot), where row holds all columns: those of a changed shard come from its
+    new files, those of another from the old files, which stay as they are.
+    """
+    spark = docs.sparkSession
+    before, after = fresh_path(spark, "old-shards"), fresh_path(spark, "new-shards")
+    numbered = docs.select(
+        F.struct("*").alias("row"),
+        F.monotonically_increasing_id().alias("number"),
+        key_shard(id_column, old_shards).alias("shard"),
+    )
+    numbered.write.option("compression", "zstd").partitionBy("shard").parquet(before)
+    old = spark.read.schema(numbered.schema).parquet(before)
+    # Where each row goes is found without its other columns, which are read again only to be written.
+    narrow = old.select(F.col(f"row.{id_column}").alias("id"), F.col(f"row.{text}").alias("text"), "number", "shard")
+    placed = reshard(narrow, F.col("shard"), shards, "id", "text", carry=["number"])
+    placed = store(placed.select("number", "old_shard", "shard", "slot"), "placement")
+    moved = old.select("row", "number").join(placed.sized(), "number").drop("number")
+    touched = write_shards(moved, after, BLOCK_ROWS)
+    new = spark.read.schema(moved.schema).parquet(after)
+    untouched = old.filter(~F.col("shard").isin(touched)).select("row", "number").join(placed.sized(), "number").drop("number")
+    return new.select(moved.columns).unionByName(untouched), touched
+
+
+def layout(
+    docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The columns of the query: `docs`, laid out by key over `old_shards`, resharded to `shards` of equal bytes.
+
+    Both layouts are written; what is returned is taken from the files of the second.
+    """
+    data = F.coalesce(F.col(f"row.{text}"), F.lit("")).cast("binary")
+    return rewrite(docs, shards, old_shards, id_column, text)[0].select(
+        F.col(f"row.{id_column}").alias(id_column),
+        (F.octet_length(data) + 1).cast("long").alias("size"),
+        F.crc32(data).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

@@ -98,5 +98,20 @@ def test_only_affected_shards_are_written(spark, tmp_path):
     assert {r["shard"]: r["count"] for r in after.groupBy("shard").count().collect()} == dict.fromkeys(range(4), 10)
 
 
+def test_query_writes_the_changed_shards_whole(spark, monkeypatch):
+    folders, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda rows, folder, *a: (folders.append(folder), write(rows, folder, *a))[1])
+    # One shard that grows to two; then one that stays as it is.
+    rows = [(i, "x" * 9, f"tag {i}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(3)
+    told = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.layout(table, 2, 1).collect()}
+    files = spark.read.parquet(folders[0]).select("row.*", F.col("shard").alias("at"), "slot").collect()
+    assert sorted((r["doc_id"], r["text"], r["shard"]) for r in files) == rows
+    assert {r["doc_id"]: (r["at"], r["slot"]) for r in files} == told
+    same = sharding.layout(table, 1, 1).collect()
+    assert sorted(r["slot"] for r in same) == list(range(300)) and {r["size"] for r in same} == {10}
+    assert not [name for name in os.listdir(folders[1]) if name.startswith("shard=")]
+
+
 def test_empty(spark):
     assert sharding.layout(spark.createDataFrame([], SCHEMA)).count() == 0

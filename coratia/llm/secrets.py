@@ -40,7 +40,8 @@ WIDE = {
     "mixed": r"([A-Za-z0-9+/_-]{24,})",
 }
 KINDS = [*BASE_KINDS, *WIDE]
-# From this many owners on a value is a widely copied example, unless one repository in each is all there is.
+# From this many owners on a value is a widely copied example. Where `spare_single` is set, not so if one repository
+# in each is all there is: that much a single leaked document does by being copied once to each source.
 EXAMPLE_OWNERS = 3
 
 _MARK, _OTHER = "\ufdd0", "\ufdd1"  # two code points that Unicode reserves for internal use
@@ -140,7 +141,7 @@ def _listed(spans: str) -> Column:
 
 
 def _scanned(
-    docs: DataFrame, text: str, repository: str, owner: str, example_owners: int, carry: list[str]
+    docs: DataFrame, text: str, repository: str, owner: str, example_owners: int, carry: list[str], spare_single: bool = False
 ) -> DataFrame:
     """__carry, a struct of the columns `carry`, and the spans found in each row."""
     rows = docs.select(
@@ -160,7 +161,10 @@ def _scanned(
         F.explode(F.concat("__base", "__wide")).alias("span"),
     ).select("__row", "repository", "owner", F.sha2("span.value", 256).alias("hash"), F.col("span.value").alias("value"))
     held = ownership(values)
-    examples = store(held.filter(F.col("owners") >= example_owners).select("hash"), "examples")
+    copied_widely = F.col("owners") >= example_owners
+    if spare_single:
+        copied_widely &= F.col("repositories") > F.col("owners")
+    examples = store(held.filter(copied_widely).select("hash"), "examples")
     copied = (
         values.join(examples.sized(), "hash", "left_semi")
         .groupBy("__row")
@@ -238,8 +242,11 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """`docs`, all rows and columns, with the secrets in the text blanked out: base spans, and wider ones that look live."""
-    scanned = _scanned(docs, text, repository, owner, example_owners, docs.columns)
+    """`docs`, all rows and columns, with the secrets in the text blanked out: base spans, and wider ones that look live.
+
+    Unlike in `scan`, a value that every one of its owners holds in a single repository looks live, however many owners there are.
+    """
+    scanned = _scanned(docs, text, repository, owner, example_owners, docs.columns, spare_single=True)
     spans = F.array_sort(F.concat("base", "wide"))
     return scanned.select(
         *[(redacted(F.col(f"__carry.{c}"), spans) if c == text else F.col(f"__carry.{c}")).alias(c) for c in docs.columns]

@@ -94,6 +94,17 @@ def test_redaction_keeps_rows_and_columns(spark):
         assert texts[i] == (text if at == 0 else expected + text[at:])
 
 
+def test_redaction_looks_at_repositories_and_owners(spark):
+    single, sample, own = "Zz9aZz9aZz9aZz9aZz9aZz9a", "Ss8cSs8cSs8cSs8cSs8cSs8c", "Qq7bQq7bQq7bQq7bQq7bQq7b"
+    # One repository in each of three owners; the same and one more; many repositories of one owner.
+    texts = [f"see {v} there" for v in [single] * 3 + [sample] * 4 + [own] * 5]
+    table = scanned(spark, texts, [*"abc", *"abcc", *"ddddd"])
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(table).collect()}
+    assert [got[i] for i in range(3)] == ["see [mixed] there"] * 3
+    assert [got[i] for i in range(3, 7)] == texts[3:7]
+    assert [got[i] for i in range(7, 12)] == ["see [mixed] there"] * 5
+
+
 def test_odd_tables(spark):
     assert secrets.digest(secrets.scan(spark.createDataFrame([], SCHEMA))).count() == 0
     table = scanned(spark, [f"token = {HEXES}"]).withColumn("doc_id", F.lit(None).cast("long"))

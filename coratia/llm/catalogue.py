@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coratia.llm import language, mixing, neighbours, pieces, preferences, quality, secrets, sharding, simhash, warc
+from coratia.llm import (
+    language,
+    merkle,
+    mining,
+    mixing,
+    neighbours,
+    pieces,
+    preferences,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    warc,
+)
 from coratia.llm.sql import SQL as SQL
 
 # The piece model: a path that Spark can read.
@@ -74,3 +87,13 @@ def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     return judged.withColumn("p_good", F.round("p_good", 6))
+
+
+@_query
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.check(_table(spark, folder, "documents"))
+
+
+@_query
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return mining.mine(_table(spark, folder, "embeddings"))

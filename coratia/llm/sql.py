@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coratia.llm import mixing, preferences, quality, secrets
+from coratia.llm import mining, mixing, preferences, quality, secrets
 
 
 def _text(value: str) -> str:
@@ -306,7 +306,89 @@ from voted join patterns using ({names}) join g{quality.ROUNDS} using (pid)
 """
 
 
+def merkle_sql() -> str:
+    """Trees level by level; more levels than any tree has change nothing, as a lone node stays as it is."""
+    levels = 14
+
+    def leaf(text: str) -> str:
+        parts = [
+            f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end" for c in ("doc_id", "source", "lang", "n_chars", text)
+        ]
+        return f"sha256({' || '.join(parts)})"
+
+    crc = "list_reduce(flatten(list_transform(string_split(doc_id::varchar, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0])), "
+    crc += "lambda c, b: (xor(c, b) >> 1) ^ ((xor(c, b) & 1) * 3988292384), 4294967295)"
+    crc = crc.replace("(xor(c, b) >> 1) ^ ((xor(c, b) & 1) * 3988292384)", "xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)")
+
+    def tree(name: str, base: str, key: str) -> list[str]:
+        """name0 .. nameN: (key, i, n, digest); i counts inside the tree of that key, which has n nodes on the level."""
+        made = [f"{name}0 as materialized ({base})"]
+        for k in range(1, levels + 1):
+            made.append(f"""{name}{k} as materialized (
+    select {key}, case when n > 1 then i // 3 else i end i, max(case when n > 1 then (n + 2) // 3 else n end) n,
+        case when max(n) > 1 then sha256(string_agg(digest, '' order by i)) else max(digest) end digest
+    from {name}{k - 1} group by all)""".replace("group by all", f"group by {key}, case when n > 1 then i // 3 else i end"))
+        return made
+
+    def climb(name: str, start: str, nodes: str, key: str, place: str) -> list[str]:
+        """name0 .. nameN: what becomes of a row's digest `up`, and the siblings met so far."""
+        made = [f"{name}0 as materialized ({start})"]
+        for k in range(1, levels + 1):
+            made.append(f"""{name}{k} as materialized (
+    select r.rid, r.{key}, case when any_value(x.n) > 1 then any_value(r.{place}) // 3 else any_value(r.{place}) end {place},
+        case when any_value(x.n) > 1 then sha256(string_agg(case when x.i = r.{place} then r.up else x.digest end, '' order by x.i)) else any_value(r.up) end up,
+        any_value(r.proof) || coalesce(string_agg(x.digest, '' order by x.i) filter (x.n > 1 and x.i != r.{place}), '') proof
+    from {name}{k - 1} r join {nodes}{k - 1} x on x.{key} = r.{key} and x.i // 3 = r.{place} // 3 group by r.rid, r.{key})""")
+        return made
+
+    steps = [
+        f"""rows_ as materialized (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by source) n,
+        dense_rank() over (order by source nulls first) - 1 tree from (
+        select doc_id, source, {leaf("text")} leaf, row_number() over () rid,
+            case when ({crc} # 4294967295) % 2 = 0 then {leaf("text")[:-1].replace("text", "replace(text, chr(10), '')")}) else {leaf("text")} end changed
+        from documents))""".replace(f"({crc} # 4294967295)", f"xor({crc}, 4294967295)"),
+        *tree("t", "select tree, i, n, leaf digest from rows_", "tree"),
+        f"subroots as materialized (select tree, digest from t{levels})",
+        *tree("s", "select 0 tree, tree i, (select count(*) from subroots) n, digest from subroots", "tree"),
+        *climb("c", "select rid, tree, i, changed up, '' proof from rows_", "t", "tree", "i"),
+        *climb("d", f"select rid, 0 tree, tree i, up, proof from c{levels}", "s", "tree", "i"),
+    ]
+    return f"""
+with {", ".join(steps)}
+select r.doc_id, r.leaf, b.digest subroot, s.digest root, sha256(d.proof) proof_sha256, d.up folded_root, d.up = s.digest verified
+from rows_ r join subroots b using (tree) join d{levels} d using (rid), s{levels} s
+"""
+
+
+def mining_sql() -> str:
+    return f"""
+with whole as (
+    select vec_id, case when vec_id % {mining.FLIP} = 0 then (label + 1) % {mining.LABELS} else label end label,
+        list_transform(embedding, lambda x: floor({mining.SCALE} * x::double)) v
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as materialized (
+    select a.vec_id anchor_id, b.vec_id, a.label = b.label same, list_inner_product(a.v, b.v)::bigint score
+    from whole a join whole b on a.vec_id % {mining.ANCHORS} = 0 and a.vec_id != b.vec_id and len(a.v) = len(b.v)
+),
+positives as (
+    select anchor_id, vec_id positive_id, score positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {mining.POSITIVES}
+)
+select anchor_id, positive_id,
+    (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+    vec_id negative_id, positive_score, score negative_score
+from positives join scored using (anchor_id)
+where not same and {mining.LEAST} * positive_score <= 100 * score and 100 * score <= {mining.MOST} * positive_score
+qualify rank <= {mining.NEGATIVES}
+"""
+
+
 SQL = {
+    "op12_merkle": merkle_sql(),
+    "op13_negatives": mining_sql(),
     "op10_quality": quality_sql(),
     "op3_warc": warc_sql(),
     "op5_secrets": secrets_sql(),

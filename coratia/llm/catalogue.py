@@ -14,6 +14,7 @@ from coratia.llm import (
     mixing,
     neighbours,
     pieces,
+    positive,
     preferences,
     quality,
     secrets,
@@ -89,6 +90,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumn("p_good", F.round("p_good", 6))
 
 
+@_query
+def op11_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return positive.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.check(_table(spark, folder, "documents"))

@@ -154,7 +154,7 @@ def frequent_itemsets(
     )
     if not singles.rows:
         return _empty_report(items)
-    level, size = Stored(_spelled(singles.df, None), singles.rows), 1
+    level, size = store(_spelled(singles.df, None)), 1
     report = [_report_rows(level.df, size)]
     occurrences = cut_lineage(
         items.withColumnRenamed("item", "last")
@@ -184,7 +184,7 @@ def frequent_itemsets(
         if not frequent.rows:
             break
         size += 1
-        level = Stored(cut_lineage(_spelled(frequent.df, level)), frequent.rows)
+        level = store(_spelled(frequent.df, level))
         report.append(_report_rows(level.df, size))
         if size == max_size:
             break
@@ -262,7 +262,7 @@ def itemset_report(
             break
         size += 1
         spelled = _spelled(candidates, level)
-        level = Stored(cut_lineage(_spelled(frequent.df, level)), frequent.rows)
+        level = store(_spelled(frequent.df, level))
         report.append(
             spelled.select(
                 F.lit("candidate").alias("kind"),

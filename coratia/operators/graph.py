@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coratia.plans.lineage import BROADCAST_ROWS, Stored, cut_lineage, store
+from coratia.operators.ids import dense_codes
+from coratia.plans.lineage import BROADCAST_ROWS, Scope, Stored, cut_lineage, fresh_path, store, written
 from coratia.plans.skew import MATCHES_PER_CELL, aggregate_pairs
 
 # Groups with more members than this are hot: see `shared_counts`.
@@ -22,6 +23,8 @@ HOT_GROUP = 10_000
 MOST_HOT_GROUPS = 1_000
 # Nodes with more edges than this are hubs; their edges are split for searches.
 HUB_EDGES = 10_000
+# Rows (root, node) that the searches of one batch of roots may hold.
+STATE_ROWS = 200_000_000
 # Betweenness values closer than this many decimals are ties.
 TIE_DECIMALS = 9
 
@@ -245,7 +248,7 @@ def _flows(steps: _Steps, levels: list[Stored]) -> tuple[list[DataFrame], list[D
     """
     if not levels:
         return [], []
-    credit = Stored(levels[-1].df.withColumn("credit", F.lit(1.0)), levels[-1].rows)
+    credit = Stored(levels[-1].df.withColumn("credit", F.lit(1.0)), levels[-1].rows, levels[-1].size)
     credits, flows = [credit.df], []
     for above in reversed(levels[:-1]):
         share = (F.col("credit") / F.col("sigma")).alias("share")
@@ -264,6 +267,7 @@ def _flows(steps: _Steps, levels: list[Stored]) -> tuple[list[DataFrame], list[D
                 "root", "node", "sigma", "parts", (1.0 + F.coalesce("passed", F.lit(0.0))).alias("credit")
             ),
             above.rows,
+            above.size,
         )
         credits.append(credit.df)
         flows.append(flow)
@@ -282,30 +286,54 @@ def node_credit(
     return reduce(DataFrame.unionByName, [c.select("root", "node", "credit") for c in credits])
 
 
-def edge_betweenness(edges: DataFrame, batches: int = 1, hub: int = HUB_EDGES) -> DataFrame:
+def root_batches(nodes: int, state_rows: int = STATE_ROWS) -> int:
+    """In how many batches the roots are searched so that one batch holds `state_rows` rows (root, node) at most, or a root alone."""
+    return max(1, -(-nodes // max(1, state_rows // max(1, nodes))))
+
+
+def edge_betweenness(
+    edges: DataFrame,
+    batches: int | None = None,
+    hub: int = HUB_EDGES,
+    state_rows: int = STATE_ROWS,
+    folder: str | None = None,
+) -> DataFrame:
     """(src, dst, betweenness) with src < dst: the shortest paths over each edge.
 
     Each unordered pair of nodes counts once, shared among its shortest paths.
-    With several `batches` the roots are searched one group after the other, so that the
-    state, up to nodes x roots rows, stays within the cluster's disks.
+    The state of a search is up to nodes x roots rows. So the roots, in the order of their codes, are searched in `batches` of equal size, as
+    many as keep a batch within `state_rows`. What a batch has stored goes when its sums per edge are written. With a `folder`
+    these sums stay there, and a run that broke off goes on after the last batch it has written; the folder belongs to one graph and one
+    number of batches.
     """
+    spark = edges.sparkSession
     steps = _steps(edges, hub)
-    roots = nodes_of(edges)
+    stored = store(nodes_of(edges), "roots")
+    batches = batches or root_batches(stored.rows, state_rows)
+    roots = stored.df if batches == 1 else cut_lineage(dense_codes(stored.df, [F.asc("node")]))
     ends = [F.least("parent", "child").alias("src"), F.greatest("parent", "child").alias("dst")]
+    kind = edges.schema["src"].dataType.simpleString()
     partial = []
     for batch in range(batches):
-        mine = roots if batches == 1 else roots.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
-        _, flows = _flows(steps, _search_levels(steps, mine))
-        if flows:
-            rows = reduce(DataFrame.unionByName, [f.select(*ends, "flow") for f in flows])
-            summed = rows.groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
-            partial.append(cut_lineage(summed) if batches > 1 else summed)
+        path = f"{folder}/batch-{batch}-of-{batches}" if folder else fresh_path(spark, "batch")
+        if not (folder and written(spark, path)):
+            mine = roots if batches == 1 else roots.filter(F.col("code") % batches == batch).select("node")
+            with Scope(spark) as state:
+                _, flows = _flows(steps, _search_levels(steps, mine))
+                if flows:
+                    rows = reduce(DataFrame.unionByName, [f.select(*ends, "flow") for f in flows])
+                    summed = rows.groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
+                    if batches == 1 and not folder:
+                        return summed.select("src", "dst", (F.col("flow") / 2).alias("betweenness"))
+                    summed.write.mode("overwrite").parquet(path)
+            state.release()
+            if not flows:
+                continue
+        partial.append(spark.read.schema(f"src {kind}, dst {kind}, flow double").parquet(path))
     if not partial:
         return _no_rows(edges, src=F.col("src"), dst=F.col("dst"), betweenness=F.lit(0.0))
-    if batches > 1:
-        total = reduce(DataFrame.unionByName, partial)
-        partial = [total.groupBy("src", "dst").agg(F.sum("flow").alias("flow"))]
-    return partial[0].select("src", "dst", (F.col("flow") / 2).alias("betweenness"))
+    total = reduce(DataFrame.unionByName, partial).groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
+    return total.select("src", "dst", (F.col("flow") / 2).alias("betweenness"))
 
 
 # --- components and modularity ---------------------------------------------------------
@@ -408,7 +436,7 @@ def drop_top_edges(edges: DataFrame, betweenness: DataFrame) -> DataFrame:
     return drop_edges(edges, top_edges(betweenness))
 
 
-def girvan_newman(edges: DataFrame, batches: int = 1, hub: int = HUB_EDGES) -> DataFrame:
+def girvan_newman(edges: DataFrame, batches: int | None = None, hub: int = HUB_EDGES) -> DataFrame:
     """(node, community): the split with the highest modularity, the first one if several tie.
 
     Starting from the connected components, the edges with the highest

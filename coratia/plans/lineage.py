@@ -17,6 +17,8 @@ BROADCAST_ROWS = 300_000
 BROADCAST_BYTES = 8 << 20
 
 _own_folders: dict[str, str] = {}
+# Lists of paths that are being noted down, the innermost last.
+_noting: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,7 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str = "table") -> str:
     """A path in the shared folder that nothing has been written to."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _noting:
+        _noting[-1].append(path)
+    return path
 
 
 def drop_stored(spark: SparkSession) -> None:
@@ -55,13 +60,47 @@ def drop_stored(spark: SparkSession) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scope:
+    """The tables stored while it was open, which `release` deletes together.
+
+    DataFrames read from them are invalid then; what is to outlive them must be written elsewhere first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        _noting.append(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _noting.pop()
+
+    def release(self) -> None:
+        _delete(self.spark, self.paths)
+        self.paths.clear()
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to `path` has come to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 @dataclass(frozen=True)
 class Stored:
     """Stored rows, how many there are, and how many bytes their files hold."""
 
     df: DataFrame
     rows: int
-    size: int = 0
+    size: int
 
     @property
     def small(self) -> bool:

@@ -227,3 +227,39 @@ def test_empty(spark):
     assert graph.girvan_newman(edges).collect() == []
     assert graph.modularity(edges, graph.components(nodes, edges)).first()[0] is None
     assert graph.drop_top_edges(edges, graph.edge_betweenness(edges)).collect() == []
+
+
+@pytest.mark.parametrize("state_rows", [1, 14, 1_000])
+def test_betweenness_in_bounded_batches(spark, state_rows, monkeypatch):
+    """Batches of roots as large as the bound allows; no batch holds more rows."""
+    held = []
+    real = graph._search_levels
+
+    def counted(steps, roots):
+        levels = real(steps, roots)
+        held.append(sum(level.rows for level in levels))
+        return levels
+
+    monkeypatch.setattr(graph, "_search_levels", counted)
+    found = {r.src + r.dst: r.betweenness for r in graph.edge_betweenness(_edges(spark, BOOK), state_rows=state_rows).collect()}
+    assert found == {"BD": 12.0, "AB": 5.0, "BC": 5.0, "DE": 4.5, "DG": 4.5, "DF": 4.0, "EF": 1.5, "FG": 1.5, "AC": 1.0}
+    assert len(held) == graph.root_batches(7, state_rows) and max(held) <= max(state_rows, 7)
+
+
+def test_betweenness_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    folder, real, calls = str(tmp_path / "sums"), graph._search_levels, []
+
+    def breaks(steps, roots):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(steps, roots)
+
+    monkeypatch.setattr(graph, "_search_levels", breaks)
+    edges = _edges(spark, BOOK)
+    with pytest.raises(RuntimeError):
+        graph.edge_betweenness(edges, batches=4, folder=folder)
+    found = {r.src + r.dst: r.betweenness for r in graph.edge_betweenness(edges, batches=4, folder=folder).collect()}
+    assert found["BD"] == 12.0 and found["AC"] == 1.0 and len(found) == 9
+    # Two batches were written before the break, so two more searches were needed.
+    assert len(calls) == 5

@@ -6,7 +6,7 @@ import sentencepiece
 
 import corpus_pipeline
 from coratia.llm import mixing, quality
-from tests.llm import test_secrets, test_simhash
+from tests.llm import test_nearcopies, test_secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,8 +30,8 @@ def test_stages_against_brute_force(spark):
     assert good == {r["doc_id"]: texts[r["doc_id"]] for r in judged if r["p_good"] >= 0.5 and not r["base_failed"]}
     single = stage(1, kept)
     ids = sorted(good)
-    groups = test_simhash.brute_groups([test_simhash.brute_fingerprint(good[i]) for i in ids])
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted({ids[g] for g in groups})
+    # Near copies are texts of five-word similarity 0.8 or more; three words and two bits, the rule of op2, keep two pairs of them.
+    assert sorted(r["doc_id"] for r in single.collect()) == [ids[k] for k in test_nearcopies.brute_kept([good[i] for i in ids])]
     clean = stage(2, single)
     for r in clean.collect():
         text, expected, at = good[r["doc_id"]], "", 0

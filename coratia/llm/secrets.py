@@ -5,9 +5,13 @@ name, access keys and long hexadecimal runs. Beside them the scan collects candi
 tokens, prefixed provider tokens, web tokens in three parts, passwords in URLs and
 unnamed long runs of mixed letters and digits. A wide pattern also hits samples that everybody copies. So each
 candidate value is hashed, and for each hash the distinct repositories and distinct
-owners that hold it are counted. A value held by few owners looks like a live
-credential and its spans are reported; one that many owners hold is a widely copied
-example and is not. The same counts label the base spans, which stay in either case.
+owners that hold it are counted. Both decide: a value that `EXAMPLE_OWNERS` owners or more hold, in `EXAMPLE_REPOSITORIES`
+repositories or more, is a widely copied example and its spans are not reported. Any other looks like a live credential: one owner's own,
+in however many repositories, or one that got from a leak into a few repositories of several owners. The same counts
+label the base spans, which stay in either case, and are returned with every span.
+
+A wider span that a reported span holds whole says nothing new and is left out; one that is overlapped in part is reported, so that no part of
+a credential is passed over.
 
 Everything is DataFrame functions: patterns are marked inside the text with a character that no pattern holds,
 the marked text is cut there, and the lengths of the pieces give the positions, in code points.
@@ -40,9 +44,8 @@ WIDE = {
     "mixed": r"([A-Za-z0-9+/_-]{24,})",
 }
 KINDS = [*BASE_KINDS, *WIDE]
-# From this many owners on a value is a widely copied example. Where `spare_single` is set, not so if one repository
-# in each is all there is: that much a single leaked document does by being copied once to each source.
-EXAMPLE_OWNERS = 3
+# From this many owners and this many repositories on a value is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 
 _MARK, _OTHER = "\ufdd0", "\ufdd1"  # two code points that Unicode reserves for internal use
 
@@ -113,11 +116,8 @@ def _found(docs: DataFrame) -> DataFrame:
         wide.append(_spans(f"coalesce(__{kind}, array(''))", keep, rank, inner))
     base = F.array_sort(F.concat(*columns))
     docs = docs.withColumn("__base", base).withColumn("__some", F.array_sort(F.concat(*wide)))
-    # A wider span that overlaps a base span, or one of an earlier kind that overlaps it, says nothing new.
-    free = F.expr(
-        "filter(__some, w -> not exists(__base, b -> b.start < w.stop and w.start < b.stop)"
-        " and not exists(__some, v -> v.rank < w.rank and v.start < w.stop and w.start < v.stop))"
-    )
+    # A wider span that a base span holds whole says nothing new.
+    free = F.expr("filter(__some, w -> not exists(__base, b -> b.start <= w.start and w.stop <= b.stop))")
     return docs.withColumn("__wide", free).drop("__some", "__clean", *[f"__{k}" for k in KINDS])
 
 
@@ -140,10 +140,13 @@ def _listed(spans: str) -> Column:
     )
 
 
+_SPAN = "array<struct<start: long, rank: int, stop: long, value: string, repositories: long, owners: long>>"
+
+
 def _scanned(
-    docs: DataFrame, text: str, repository: str, owner: str, example_owners: int, carry: list[str], spare_single: bool = False
+    docs: DataFrame, text: str, repository: str, owner: str, example_owners: int, example_repositories: int, carry: list[str]
 ) -> DataFrame:
-    """__carry, a struct of the columns `carry`, and the spans found in each row."""
+    """__carry, a struct of the columns `carry`, and the spans found in each row, with the counts of their values."""
     rows = docs.select(
         F.struct(*carry).alias("__carry"),
         F.col(repository).cast("string").alias("__repository"),
@@ -159,23 +162,28 @@ def _scanned(
         F.coalesce("__repository", F.lit("")).alias("repository"),
         F.coalesce("__owner", F.lit("")).alias("owner"),
         F.explode(F.concat("__base", "__wide")).alias("span"),
-    ).select("__row", "repository", "owner", F.sha2("span.value", 256).alias("hash"), F.col("span.value").alias("value"))
-    held = ownership(values)
-    copied_widely = F.col("owners") >= example_owners
-    if spare_single:
-        copied_widely &= F.col("repositories") > F.col("owners")
-    examples = store(held.filter(copied_widely).select("hash"), "examples")
-    copied = (
-        values.join(examples.sized(), "hash", "left_semi")
-        .groupBy("__row")
-        .agg(F.collect_set("value").alias("__examples"))
+    ).withColumn("hash", F.sha2("span.value", 256))
+    # Most values stand in one repository; the counts of the others are joined.
+    held = store(ownership(values).filter("repositories > 1"), "held")
+    counted = values.join(held.sized(), "hash", "left").select(
+        "__row",
+        F.struct(
+            "span.*", F.coalesce("repositories", F.lit(1)).alias("repositories"), F.coalesce("owners", F.lit(1)).alias("owners")
+        ).alias("span"),
     )
-    nothing = F.array().cast("array<string>")
-    labelled = some.join(copied, "__row", "left").withColumn("__examples", F.coalesce("__examples", nothing))
-    plain = found.filter((F.size("__base") == 0) & (F.size("__wide") == 0)).withColumn("__examples", nothing)
-    live = F.expr("filter(__wide, w -> not array_contains(__examples, w.value))")
-    return labelled.unionByName(plain).select(
-        "__carry", F.col("__base").alias("base"), live.alias("wide"), F.col("__examples").alias("examples")
+    spans = store(counted.groupBy("__row").agg(F.array_sort(F.collect_list("span")).alias("__spans")), "spans")
+    none = F.array().cast(_SPAN)
+    joined = found.select("__row", "__carry").join(spans.sized(), "__row", "left").withColumn("__spans", F.coalesce("__spans", none))
+    last = len(BASE_KINDS) - 1
+    example = f"(s.owners >= {example_owners} and s.repositories >= {example_repositories})"
+    live = joined.withColumn("__live", F.expr(f"filter(__spans, s -> s.rank > {last} and not {example})"))
+    # Of a live span inside another live one of an earlier kind the outer one is enough.
+    outer = F.expr("filter(__live, w -> not exists(__live, v -> v.rank < w.rank and v.start <= w.start and w.stop <= v.stop))")
+    return live.select(
+        "__carry",
+        F.expr(f"filter(__spans, s -> s.rank <= {last})").alias("base"),
+        outer.alias("wide"),
+        F.expr(f"array_distinct(transform(filter(__spans, s -> {example}), s -> s.value))").alias("examples"),
     )
 
 
@@ -186,19 +194,21 @@ def scan(
     owner: str = "source",
     example_owners: int = EXAMPLE_OWNERS,
     carry: list[str] | None = None,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """Columns `carry` (default: the repository) of `docs`, with the spans found in each row.
 
-    base: array of (start, rank, stop, value) of the base kinds; wide: those of the wider kinds that
-    look live; examples: values, of any kind, that `example_owners` or more owners hold.
+    base: array of (start, rank, stop, value, repositories, owners) of the base kinds; wide: those of the wider kinds that
+    look live; examples: values, of any kind, that as many owners and repositories hold as make an example.
     """
-    found = _scanned(docs, text, repository, owner, example_owners, [repository] if carry is None else carry)
+    found = _scanned(docs, text, repository, owner, example_owners, example_repositories, [repository] if carry is None else carry)
     own = [c for c in (carry or [repository]) if c not in ("base", "wide", "examples")]
     return found.select(*[F.col(f"__carry.{c}").alias(c) for c in own], "base", "wide", "examples")
 
 
 def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The columns of the query: counts, the hash of the base spans, all spans, and how many are examples."""
+    """The columns of the query: counts, the hash of the base spans, all spans, the repositories and owners that hold the value of each, and
+    how many are examples."""
 
     def count(rank: int) -> Column:
         return F.expr(f"size(filter(base, s -> s.rank = {rank}))").cast("long")
@@ -211,6 +221,9 @@ def digest(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(_listed("base"), 256).alias("base_sha256"),
         _listed("__all").alias("spans"),
+        F.expr(
+            "array_join(transform(__all, s -> cast(s.repositories as string) || ':' || cast(s.owners as string)), ',')"
+        ).alias("holders"),
         F.expr("size(filter(__all, s -> array_contains(examples, s.value)))").cast("long").alias("n_examples"),
         F.expr("size(filter(__all, s -> not array_contains(examples, s.value)))").cast("long").alias("n_live"),
     )
@@ -241,12 +254,16 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, piece).otherwise(text)
 
 
-def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """`docs`, all rows and columns, with the secrets in the text blanked out: base spans, and wider ones that look live.
-
-    Unlike in `scan`, a value that every one of its owners holds in a single repository looks live, however many owners there are.
-    """
-    scanned = _scanned(docs, text, repository, owner, example_owners, docs.columns, spare_single=True)
+def redact(
+    docs: DataFrame,
+    text: str = "text",
+    repository: str = "doc_id",
+    owner: str = "source",
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
+) -> DataFrame:
+    """`docs`, all rows and columns, with the secrets in the text blanked out: base spans, and wider ones that look live."""
+    scanned = _scanned(docs, text, repository, owner, example_owners, example_repositories, docs.columns)
     spans = F.array_sort(F.concat("base", "wide"))
     return scanned.select(
         *[(redacted(F.col(f"__carry.{c}"), spans) if c == text else F.col(f"__carry.{c}")).alias(c) for c in docs.columns]

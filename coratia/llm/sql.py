@@ -82,21 +82,29 @@ with bodies as (select doc_id, coalesce(source, '') owner, coalesce(text, '') bo
 every as materialized ({" union all ".join(kinds)}),
 free as materialized (
     select * from every w where rank <= {last} or not exists (
-        select 1 from every v where v.doc_id = w.doc_id and v.rank < w.rank and v.start < w.stop and w.start < v.stop)
+        select 1 from every b where b.doc_id = w.doc_id and b.rank <= {last} and b.start <= w.start and w.stop <= b.stop)
+),
+held as (select val, count(distinct owner) owners, count(distinct doc_id) repositories from free group by val),
+judged as materialized (
+    select free.*, owners, repositories, owners >= {secrets.EXAMPLE_OWNERS} and repositories >= {secrets.EXAMPLE_REPOSITORIES} example
+    from free join held using (val)
+),
+kept as (
+    select * from judged w where rank <= {last} or not example and not exists (
+        select 1 from judged v where v.doc_id = w.doc_id and v.rank > {last} and not v.example and v.rank < w.rank
+            and v.start <= w.start and w.stop <= v.stop)
 ),
-held as (select val, count(distinct owner) owners from free group by val),
-judged as (select free.*, owners >= {secrets.EXAMPLE_OWNERS} example from free join held using (val)),
-kept as (select * from judged where rank <= {last} or not example),
 told as (
     select doc_id,
         count(*) filter (rank = 0) n_assign, count(*) filter (rank = 1) n_access, count(*) filter (rank = 2) n_hex,
         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank <= {last}), '') base,
         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank), '') spans,
+        string_agg(repositories || ':' || owners, ',' order by start, rank) holders,
         count(*) filter (example) n_examples, count(*) filter (not example) n_live
     from kept group by doc_id
 )
 select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex,
-    sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans,
+    sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(holders, '') holders,
     coalesce(n_examples, 0) n_examples, coalesce(n_live, 0) n_live
 from documents d left join told using (doc_id)
 """

@@ -59,17 +59,46 @@ def test_base_spans_by_definition(spark):
         )
 
 
+def found_in(spark, holders: list[str | None]) -> list[tuple]:
+    """What is found of one value, in one document for each of the owners given."""
+    texts = [f"see {VALUE} there"] * len(holders)
+    got = secrets.digest(secrets.scan(scanned(spark, texts, holders))).collect()
+    return sorted({(r["spans"], r["holders"], r["n_examples"], r["n_live"]) for r in got})
+
+
+VALUE = "Zz9aZz9aZz9aZz9aZz9aZz9a"
+
+
 def test_widely_copied_values_are_no_secrets(spark):
-    common, own = "Zz9aZz9aZz9aZz9aZz9aZz9a", "Qq7bQq7bQq7bQq7bQq7bQq7b"
-    texts = [f"see {common} there"] * 3 + [f"see {own} there"] * 5
-    table = scanned(spark, texts, ["a", "b", "c", "d", "d", "d", "e", None])
-    got = {r["doc_id"]: (r["spans"], r["n_examples"], r["n_live"]) for r in secrets.digest(secrets.scan(table)).collect()}
-    assert [got[i] for i in range(3)] == [("", 0, 0)] * 3
-    # Three owners again: d, e and the unnamed one.
-    assert got[3] == ("", 0, 0)
-    table = scanned(spark, texts, ["a", "b", "c", "d", "d", "d", "e", "e"])
-    got = {r["doc_id"]: (r["spans"], r["n_examples"], r["n_live"]) for r in secrets.digest(secrets.scan(table)).collect()}
-    assert [got[i] for i in range(3, 8)] == [("mixed:4:28", 0, 1)] * 5
+    """Both counts decide: many repositories of many owners make an example, either alone does not."""
+    def live(repositories: int, owners: int) -> list[tuple]:
+        return [("mixed:4:28", f"{repositories}:{owners}", 0, 1)]
+
+    assert found_in(spark, [*"abc"]) == live(3, 3)  # one repository in each of three owners
+    assert found_in(spark, [*"abcc"]) == live(4, 3)  # four copies over three sources
+    assert found_in(spark, ["d"] * 40) == live(40, 1)  # many repositories of one owner
+    assert found_in(spark, ["d"] * 20 + ["e"] * 20) == live(40, 2)
+    assert found_in(spark, [*"abcabcabc"]) == live(9, 3)
+    assert found_in(spark, [*"abcabcabca"]) == [("", "", 0, 0)]
+    assert found_in(spark, ["a", "b", None] * 4) == [("", "", 0, 0)]  # the unnamed owner is one
+    assert found_in(spark, [str(i) for i in range(10)]) == [("", "", 0, 0)]
+
+
+def test_base_spans_stay_with_their_counts(spark):
+    texts = [f"token = {HEXES}"] * 12
+    got = secrets.digest(secrets.scan(scanned(spark, texts, [*"abcd"] * 3))).collect()
+    assert {(r["spans"], r["holders"], r["n_examples"], r["n_live"]) for r in got} == {("assign:0:48,hex:8:48", "12:4,12:4", 2, 0)}
+
+
+def test_spans_overlapped_in_part_stay(spark):
+    """Half a credential must not stay behind."""
+    text = f"Authorization: Bearer {HEXES}.SIGNATUREsecretPart99 and more"
+    row = secrets.digest(secrets.scan(scanned(spark, [text]))).first()
+    assert row["spans"] == f"bearer:15:{22 + 40 + 22},hex:22:62"
+    done = secrets.redact(scanned(spark, [text])).first()["text"]
+    assert done == "Authorization: [bearer] and more"
+    inner = f"token={HEXES} tail"
+    assert secrets.digest(secrets.scan(scanned(spark, [inner]))).first()["spans"] == "assign:0:46,hex:6:46"
 
 
 def test_ownership_counts_each_owner_once(spark):
@@ -91,18 +120,20 @@ def test_redaction_keeps_rows_and_columns(spark):
             if start >= at:
                 expected += text[at:start] + f"[{kind}]"
             at = max(at, stop)
-        assert texts[i] == (text if at == 0 else expected + text[at:])
+        expected = text if at == 0 else expected + text[at:]
+        # An access key inside a longer run: the run goes whole.
+        assert texts[i] == (expected and expected.replace("x[access]", "[mixed]"))
 
 
 def test_redaction_looks_at_repositories_and_owners(spark):
     single, sample, own = "Zz9aZz9aZz9aZz9aZz9aZz9a", "Ss8cSs8cSs8cSs8cSs8cSs8c", "Qq7bQq7bQq7bQq7bQq7bQq7b"
-    # One repository in each of three owners; the same and one more; many repositories of one owner.
-    texts = [f"see {v} there" for v in [single] * 3 + [sample] * 4 + [own] * 5]
-    table = scanned(spark, texts, [*"abc", *"abcc", *"ddddd"])
+    # Four copies over three owners; ten repositories of three owners; many repositories of one owner.
+    texts = [f"see {v} there" for v in [single] * 4 + [sample] * 10 + [own] * 12]
+    table = scanned(spark, texts, [*"abcc", *"abcabcabca", *"d" * 12])
     got = {r["doc_id"]: r["text"] for r in secrets.redact(table).collect()}
-    assert [got[i] for i in range(3)] == ["see [mixed] there"] * 3
-    assert [got[i] for i in range(3, 7)] == texts[3:7]
-    assert [got[i] for i in range(7, 12)] == ["see [mixed] there"] * 5
+    assert [got[i] for i in range(4)] == ["see [mixed] there"] * 4
+    assert [got[i] for i in range(4, 14)] == texts[4:14]
+    assert [got[i] for i in range(14, 26)] == ["see [mixed] there"] * 12
 
 
 def test_odd_tables(spark):

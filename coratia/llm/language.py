@@ -38,6 +38,8 @@ SEED = 7
 UNKNOWN = "und"
 # Training reads about this many labelled texts at most, chosen by a hash of their ids.
 TRAINING_TEXTS = 20_000
+# Of a language about so many are read in any case, however many languages there are.
+FEWEST_TEXTS = 32
 # Run vectors kept per worker.
 KEPT_RUNS = 60_000
 _BITS = 21  # a code point
@@ -157,7 +159,8 @@ class Prototypes:
                 continue
             length = float(np.sqrt(bundle @ bundle))
             cosines = self.vectors @ bundle / length if length else np.zeros(len(self.languages))
-            best = int(np.argmax(cosines))
+            # Equal prototypes may come out unequal in the last digits.
+            best = int(np.argmax(np.round(cosines, 12)))
             found.append((self.languages[best], float(min(1.0, max(0.0, cosines[best])))))
         return found
 
@@ -168,6 +171,16 @@ def held_out(id_column: str | Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def sampling_rates(available: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's texts to read, so that about `most` are read and no language misses out."""
+    rates, left = {}, float(most)
+    for at, (lang, count) in enumerate(sorted(available.items(), key=lambda x: (x[1], x[0]))):
+        part = min(float(count), max(left / (len(available) - at), FEWEST_TEXTS))
+        rates[lang] = part / count
+        left -= part
+    return rates
+
+
 def learn(
     labelled: DataFrame,
     id_column: str = "doc_id",
@@ -179,14 +192,18 @@ def learn(
 ) -> Prototypes:
     """Prototypes of the labelled texts; rows without text or language teach nothing.
 
-    About `most` texts are read; which ones, a hash of their ids decides.
+    About `most` texts are read: as many of each language as of any other, all of those that have fewer. Which
+    ones, a hash of id and text decides, so repeated or missing ids do not come or go together.
     """
     rows = labelled.select(
         F.col(id_column).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     ).filter("lang is not null and text is not null")
-    available = rows.count()
-    if available > most:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / available))
+    # One number per language; as many vectors come back in the end.
+    available = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().collect()}
+    if sum(available.values()) > most:
+        rates = sampling_rates(available, most)
+        rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53)) < rate)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, int], int] = {}

@@ -8,14 +8,16 @@ so that the expected words are the target. The whole part is certain: so many
 copies are taken. The rest p is the inclusion probability of one more copy: each document draws a uniform
 u from its id, is ranked by its odds u / (1 - u) divided by p / (1 - p), and the
 first documents in that order are taken as long as the target is not exceeded; one more document then
-closes the gap, the one beyond the cut whose size comes nearest to it.
+closes the gap, the one beyond the cut whose size comes nearest to it. This one is chosen by its size, so it is
+the only document of a source whose chance is not p.
 
 The cut of a source is found without ordering it: words are summed per source
 and slice of the order, and only the slice that holds the cut is looked at in detail.
 
 Defined results: a null text or one without a word has size 0 and is taken or not without effect;
-rows without a source form the last source; documents with equal ids draw the same u and stand
-side by side in the order; a source without words has target 0; an empty table gives an empty
+rows without a source form the last source; rows without an id draw from their text; rows of one id draw the same u, and those
+that also share source and size are alike: they stand side by side in the order, but are taken one by one, so a cut may fall among them;
+a source without words has target 0; an empty table gives an empty
 result. Columns of the result replace columns of the same name.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coratia.operators.ids import dense_codes
-from coratia.plans.lineage import Stored, store
+from coratia.plans.lineage import Stored, cut_lineage, store
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -53,9 +55,10 @@ def word_count(text: str | Column) -> Column:
     return _word_counts(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from 48 bits of a hash of the key."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 12)
+def uniform(key: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from 48 bits of a hash of the key, or of the text where there is no key."""
+    told = F.coalesce(key.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), told)), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -133,9 +136,10 @@ def _with_odds(rows: DataFrame, most: int) -> DataFrame:
 
 
 def pareto_cuts(rows: DataFrame, scales: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(source, cut, cut_id, cut_open, gap): documents up to (place, id) = (cut, cut_id) are taken once more.
+    """(source, cut, fit, gap): documents before `cut`, a struct (place, id, size), are taken once more.
 
-    cut_open: those below the cut only. gap: the words still wanted then, never below 0.
+    cut: the first documents that don't all fit into what is wanted, null if all fit; fit: how many of these alike rows do;
+    gap: the words still wanted then, never below 0.
 
     `rows` has source, id, size, whole, p, place.
     """
@@ -160,50 +164,70 @@ def pareto_cuts(rows: DataFrame, scales: DataFrame, slices: int = SLICES) -> Dat
         .select("source", "x.*")
     )
     crossing = store(crossing, "crossing")
+    # Alike rows are one row from here on, however many they are.
     inside = (
         ranked.alias("r")
         .join(
             crossing.sized().alias("x"),
             F.col("r.source").eqNullSafe(F.col("x.source")) & (F.col("r.slice") == F.col("x.slice")),
         )
-        .select("r.source", "place", "id", "size", "before", "wanted")
-        .groupBy("source", "place", "id", "before", "wanted")
-        .agg(F.sum("size").alias("size"))
+        .groupBy("r.source", "place", "id", "size", "before", "wanted")
+        .agg(F.sum("size").alias("words"))
     )
-    running = Window.partitionBy("source").orderBy("place", F.asc_nulls_first("id"))
-    ends = inside.withColumn("reached", F.col("before") + F.sum("size").over(running))
-    # The last end that is not beyond what is wanted; the slices before the crossing one are taken in any case.
-    fits = F.when(F.col("reached") <= F.col("wanted"), F.struct("reached", "place", F.struct("id").alias("end")))
-    last = ends.groupBy("source").agg(
-        F.max(fits).alias("x"),
-        F.first("before").alias("before"),
+    running = Window.partitionBy("source").orderBy("place", F.asc_nulls_first("id"), "size")
+    ends = inside.withColumn("reached", F.col("before") + F.sum("words").over(running))
+    over = F.col("reached") > F.col("wanted")
+    found = ends.groupBy("source").agg(
+        F.min(F.when(over, F.struct(_key(), (F.col("reached") - F.col("words")).alias("reached")))).alias("x"),
+        F.max("reached").alias("all"),
         F.first("wanted").alias("wanted"),
-        F.first(F.floor(F.col("place") * slices) / slices).alias("edge"),
-    )
-    return last.select(
-        "source",
-        F.coalesce("x.place", "edge").alias("cut"),
-        F.col("x.end.id").alias("cut_id"),
-        F.col("x").isNull().alias("cut_open"),
-        (F.col("wanted") - F.coalesce("x.reached", "before")).alias("gap"),
     )
+    left = F.col("wanted") - F.coalesce("x.reached", "all")
+    fit = F.coalesce(F.floor(left / F.col("x.key.size")), F.lit(0)).cast("long")
+    gap = left - fit * F.coalesce("x.key.size", F.lit(0))
+    return found.select("source", F.col("x.key").alias("cut"), fit.alias("fit"), gap.alias("gap"))
 
 
 def closing_documents(rows: DataFrame, cuts: Stored) -> DataFrame:
-    """(source, close_id): of the documents beyond the cut, the one whose size comes nearest to the words still wanted.
+    """(source, closing): of the documents beyond the cut, the place of one whose size comes nearest to the words still wanted.
 
     One row per source and task is shuffled. A source whose gap no document lessens has no row.
     """
-    beyond = _joined(rows.filter("place is not null"), cuts).filter(~_upto_cut())
+    beyond = _joined(rows.filter("place is not null"), cuts).filter(~_before_cut())
     left = F.abs(F.col("gap") - F.col("size"))
-    nearest = F.min(F.struct(left.alias("left"), "place", "id")).alias("x")
-    return beyond.filter(left < F.col("gap")).groupBy("source").agg(nearest).select("source", F.col("x.id").alias("close_id"))
+    nearest = F.min(F.struct(left.alias("left"), _key())).alias("x")
+    return beyond.filter(left < F.col("gap")).groupBy("source").agg(nearest).select("source", F.col("x.key").alias("closing"))
+
+
+def _key() -> Column:
+    """The place of a row in the order of its source; alike rows share it. Structs compare with null as the least."""
+    return F.struct("place", "id", "size").alias("key")
+
+
+def _before_cut() -> Column:
+    return F.col("place").isNotNull() & (F.col("cut").isNull() | (_key() < F.col("cut")))
 
 
-def _upto_cut() -> Column:
-    place, cut = F.col("place"), F.col("cut")
-    same = (place == cut) & ~F.col("cut_open") & F.coalesce(F.col("id") <= F.col("cut_id"), F.col("id").isNull())
-    return F.coalesce((place < cut) | same, F.lit(False))
+def _border_rows(rows: DataFrame, table: Stored) -> Stored:
+    """(source, key, take, n): how many of the n alike rows at the cut, and at the closing document, are taken once more."""
+    wanted = table.df.select(
+        "source",
+        F.explode(
+            F.array(
+                F.struct(F.col("cut").alias("key"), F.coalesce("fit", F.lit(0)).cast("long").alias("take")),
+                F.struct(F.col("closing").alias("key"), F.lit(1).cast("long").alias("take")),
+            )
+        ).alias("x"),
+    ).filter("x.key is not null")
+    wanted = store(wanted.groupBy("source", "x.key").agg(F.sum("x.take").alias("take")).filter("take > 0"), "border")
+    counted = _at_border(rows, wanted).filter("take is not null").groupBy("source", _key(), "take").agg(F.count(F.lit(1)).alias("n"))
+    return store(counted, "border")
+
+
+def _at_border(rows: DataFrame, border: Stored) -> DataFrame:
+    side = border.df.withColumnsRenamed({"source": "__of", "key": "__key"})
+    here = F.col("source").eqNullSafe(F.col("__of")) & _key().eqNullSafe(F.col("__key"))
+    return rows.join(border.fits(side), here, "left").drop("__of", "__key")
 
 
 def _joined(rows: DataFrame, table: Stored, source: str = "source") -> DataFrame:
@@ -219,28 +243,55 @@ def plan(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
     seed: str = SEED,
-) -> tuple[Stored, DataFrame]:
-    """The table of sources (size, target, scale, cut), and one narrow row per row of `docs`."""
-    narrow = docs.select(
-        F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")
-    )
+) -> tuple[Stored, Stored, DataFrame]:
+    """The table of sources (size, target, scale, cut), the rows at its borders, and one narrow row per row of `docs`."""
+    narrow = _narrow(docs, id_column, text, source, seed)
     sizes = store(narrow, "sizes").df
-    sized = sizes.withColumns({"g": preference(F.col("size")), "u": uniform(F.col("id"), seed)})
+    sized = sizes.withColumn("g", preference(F.col("size")))
     targets = source_targets(sizes, weights, most)
     scales = store(source_scales(sized, targets, most), "scales")
     rows = _with_odds(_joined(sized, scales), most)
     cuts = store(pareto_cuts(rows, scales.df), "cuts")
     closing = store(closing_documents(rows, cuts), "closing")
     table = store(_joined(_joined(scales.df, cuts), closing), "mix")
-    return table, sizes
+    return table, _border_rows(rows, table), sizes
+
+
+def _narrow(docs: DataFrame, id_column: str, text: str, source: str, seed: str, *more: Column) -> DataFrame:
+    return docs.select(
+        *more,
+        F.col(id_column).alias("id"),
+        F.col(source).cast("string").alias("source"),
+        word_count(text).alias("size"),
+        uniform(F.col(id_column), F.col(text), seed).alias("u"),
+    )
+
 
+def _copies(rows: DataFrame, table: Stored, border: Stored, most: int, order: list[Column]) -> DataFrame:
+    """Adds `copies` to rows with id, source, size and u.
 
-def _copies(rows: DataFrame, table: Stored, most: int, seed: str) -> DataFrame:
-    """Adds `copies` to rows with id, source and size."""
-    rows = rows.withColumns({"g": preference(F.col("size")), "u": uniform(F.col("id"), seed)})
-    rows = _with_odds(_joined(rows, table), most)
-    more = _upto_cut() | (F.col("place").isNotNull() & F.coalesce(F.col("id") == F.col("close_id"), F.lit(False)))
-    return rows.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0))
+    Where only some of alike rows are taken, these rows are numbered in `order`, by a sort of just them.
+    """
+    kept = [*rows.columns, "source_size", "target", "copies"]
+    rows = _with_odds(_joined(rows.withColumn("g", preference(F.col("size"))), table), most)
+    rows = _at_border(rows, border)
+    parted = F.coalesce(F.col("take") < F.col("n"), F.lit(False))
+    whole = F.when(_before_cut() | F.coalesce(F.col("take") >= F.col("n"), F.lit(False)), 1).otherwise(0)
+    told = rows.withColumn("copies", F.col("whole") + whole)
+    if border.df.filter("take < n").isEmpty():
+        return told.select(kept)
+    numbered = cut_lineage(
+        dense_codes(
+            told.filter(parted).select(*kept, _key(), "take"), [F.asc_nulls_first("source"), F.asc("key"), *order], "__code"
+        )
+    )
+    # At most two rows per source.
+    first = numbered.groupBy("source", "key").agg(F.min("__code").alias("__first"))
+    first = border.fits(first.withColumnsRenamed({"source": "__of", "key": "__key"}))
+    here = F.col("source").eqNullSafe(F.col("__of")) & F.col("key").eqNullSafe(F.col("__key"))
+    more = F.when(F.col("__code") - F.col("__first") < F.col("take"), 1).otherwise(0)
+    some = numbered.join(first, here).withColumn("copies", F.col("copies") + more)
+    return told.filter(~parted).select(kept).unionByName(some.select(kept))
 
 
 def mix(
@@ -253,8 +304,8 @@ def mix(
     seed: str = SEED,
 ) -> DataFrame:
     """(id, size, source_size, target, taken, copies), one row per row of `docs`."""
-    table, sizes = plan(docs, id_column, text, source, weights, most, seed)
-    return _copies(sizes, table, most, seed).select(
+    table, border, sizes = plan(docs, id_column, text, source, weights, most, seed)
+    return _copies(sizes, table, border, most, []).select(
         F.col("id").alias(id_column),
         "size",
         "source_size",
@@ -273,13 +324,8 @@ def mixed_rows(
     most: int = MOST,
     seed: str = SEED,
 ) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken. Only the table of sources is joined to the texts."""
-    table, _ = plan(docs, id_column, text, source, weights, most, seed)
-    rows = docs.select(
-        F.struct("*").alias("__row"),
-        F.col(id_column).alias("id"),
-        F.col(source).cast("string").alias("source"),
-        word_count(text).alias("size"),
-    )
-    copied = _copies(rows, table, most, seed).filter("copies > 0")
-    return copied.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    """The mix itself: each row of `docs` as often as it is taken. Only tables of sources are joined to the texts."""
+    table, border, _ = plan(docs, id_column, text, source, weights, most, seed)
+    rows = _narrow(docs, id_column, text, source, seed, F.struct("*").alias("__doc"))
+    copied = _copies(rows, table, border, most, [F.to_json("__doc")]).filter("copies > 0")
+    return copied.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")

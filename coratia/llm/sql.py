@@ -123,7 +123,7 @@ def mixing_sql() -> str:
         / coalesce(sum(weight) filter (not capped) over (), 1)::double > source_size * {most}) capped from round{k - 1})""")
     return rf"""
 with sizes as (
-    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, md5(coalesce(text, '')) text_md5 from documents
 ),
 totals as (select source, sum(size)::bigint source_size from sizes group by source),
 weighted as (
@@ -139,7 +139,7 @@ targets as (
 ),
 drawn as (
     select *, greatest(1, {mixing.PREFERENCES} - length(bin(size)))::bigint g,
-        (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::bigint::double + 0.5) / {1 << 48}::double u
+        (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, text_md5)), 1, 12))::bigint::double + 0.5) / {1 << 48}::double u
     from sizes
 ),
 classes as (select source, g, sum(size)::bigint words from drawn group by all),
@@ -163,25 +163,27 @@ placed as (
     from expected
 ),
 wanted as (select source, any_value(target) - sum(size * whole) wanted from placed group by source),
+-- Alike rows stand side by side; each has a number of its own.
 running as (
-    select r.doc_id, r.source, r.place, r.size, wanted,
-        sum(r.size) over (partition by r.source order by r.place, r.doc_id) reached
-    from placed r join wanted w on r.source is not distinct from w.source where place is not null
+    select p.*, wanted, sum(size) filter (place is not null) over ordered reached, row_number() over ordered number
+    from placed p join wanted w on p.source is not distinct from w.source
+    window ordered as (partition by p.source order by place nulls last, doc_id nulls first, size rows between unbounded preceding and current row)
 ),
 -- Slices that begin beyond what is wanted are not looked at, so the cut is the last end that is not beyond.
 cuts as (
-    select source, any_value(wanted) wanted, coalesce(max(reached) filter (reached <= wanted), 0) reached from running group by source
+    select source, any_value(wanted) wanted, coalesce(max(reached) filter (reached <= wanted), 0) reached
+    from running where place is not null group by source
 ),
 closing as (
-    select r.source, arg_min(r.doc_id, (abs(c.wanted - c.reached - r.size), r.place, r.doc_id)) close_id
+    select r.source, arg_min(r.number, (abs(c.wanted - c.reached - r.size), r.number)) closing
     from running r join cuts c on r.source is not distinct from c.source
-    where r.reached > c.wanted and abs(c.wanted - c.reached - r.size) < c.wanted - c.reached group by r.source
+    where place is not null and r.reached > c.wanted and abs(c.wanted - c.reached - r.size) < c.wanted - c.reached group by r.source
+),
+told as (
+    select r.*, (whole + case when place is not null and (reached <= wanted or number = closing) then 1 else 0 end)::bigint copies
+    from running r left join closing c on r.source is not distinct from c.source
 )
-select p.doc_id, p.size, p.source_size, p.target,
-    (p.size * (whole + case when r.reached <= r.wanted or p.doc_id = c.close_id then 1 else 0 end))::bigint taken,
-    (whole + case when r.reached <= r.wanted or p.doc_id = c.close_id then 1 else 0 end)::bigint copies
-from placed p left join running r on p.doc_id = r.doc_id and p.source is not distinct from r.source
-left join closing c on p.source is not distinct from c.source
+select doc_id, size, source_size, target, (size * copies)::bigint taken, copies from told
 """
 
 

@@ -61,3 +61,38 @@ def test_odd_tables(spark):
     assert language.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, None, "en", "x"), (1, "", None, None), (1, "12 !", "de", None), (3, "the text", None, None)]
     assert {tuple(r)[2:] for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()} == {("und", 0.0)}
+
+
+def test_every_language_is_learnt_from_a_bounded_sample(spark):
+    rows = [(i, "the and of with " + f"w{i}", "en", None) for i in range(4_000)]
+    rows += [(None, f"der und die nicht {'abc'[i % 3] * (i + 1)}", "de", None) for i in range(10)]
+    model = language.learn(spark.createDataFrame(rows, SCHEMA), most=20)
+    assert model.languages == ("de", "en")
+    assert [p[0] for p in model.predict(["und die nicht", "the with and"])] == ["de", "en"]
+
+
+def test_rates_never_end_at_zero():
+    rates = language.sampling_rates({"a": 3 * 10**12, "b": 5, "c": 10**6}, 20_000)
+    assert rates["b"] == 1 and 0 < rates["a"] * 3 * 10**12 <= 10_000 and abs(sum(
+        rates[x] * n for x, n in (("a", 3 * 10**12), ("b", 5), ("c", 10**6))) - 20_000) < 1
+
+
+def brute_predict(model: language.Prototypes, text: str) -> tuple[str, float]:
+    bundle = brute_bundle(text, language.Space(model.dimensions, model.seed))
+    cosines = [float(v @ bundle / np.sqrt(bundle @ bundle)) for v in model.vectors]
+    best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+    return model.languages[best], min(1.0, max(0.0, cosines[best]))
+
+
+def test_predictions_by_definition(spark):
+    texts = {"en": "The cat and the dog, of course.", "de": "Der Hund und die Katze; nicht öfter."}
+    space = language.Space(256, 3)
+    vectors = [brute_bundle(texts[x], space) for x in ("de", "en", "de")]
+    # Two equal prototypes: the first of them is told.
+    model = language.Prototypes(("de", "en", "zz"), np.stack([v / np.sqrt(v @ v) for v in vectors]), 256, 3)
+    asked = ["the dog", "Katze und", "o", "x " * 3_000, "Œuvre of the Hund"]
+    for text, (lang, score) in zip(asked, model.predict(asked)):
+        expected = brute_predict(model, text)
+        assert lang == expected[0] and score == pytest.approx(expected[1], abs=1e-9)
+    assert model.predict([texts["de"]])[0][0] == "de"
+    assert model.predict([None, "", "12"]) == [(language.UNKNOWN, 0.0)] * 3

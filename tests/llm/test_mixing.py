@@ -94,3 +94,19 @@ def test_odd_tables(spark):
     twice = spark.createDataFrame([(1, "a b c", "a", None)] * 3 + [(None, "d e", "a", None)] * 2, SCHEMA)
     got = mixing.mix(twice).collect()
     assert len(got) == 5 and sum(r["taken"] for r in got) == 13
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_meet_the_target(spark, doc_id, same_text):
+    # 300 rows of one id; their source has weight 1 of 1 + 2, so about a third of 10 words x 600 rows is wanted.
+    rows = [(doc_id, "w " * 9 + ("w" if same_text else f"w{i}"), "a", str(i)) for i in range(300)]
+    rows += [(1_000 + i, "w " * 10, "b", None) for i in range(300)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(table.repartition(5)).collect()
+    assert len(got) == 600 and all(r["taken"] in (0, 10, 20, 30) for r in got)
+    target = got[0]["target"] if got[0]["target"] < 3_000 else 6_000 - got[0]["target"]
+    taken = [r for r in got if r["doc_id"] == doc_id]
+    assert sum(r["taken"] for r in taken) == target == 2_000
+    runs = [sorted(map(str, mixing.mixed_rows(table.repartition(k)).collect())) for k in (2, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 600

@@ -76,7 +76,7 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op8_preferences(spark: SparkSession, folder: str) -> DataFrame:
-    return preferences.preference_rows(preferences.neighbouring_pairs(_table(spark, folder, "conversations")))
+    return preferences.preference_rows(preferences.answer_pairs(_table(spark, folder, "conversations")))
 
 
 @_query

@@ -5,9 +5,10 @@ turns is rendered once, as the prompt; what follows is rendered as two
 completions. A completion comes with the spans, in code points, of what a model
 is to learn from it: the words of the assistant and the mark that ends them. The rest is masked.
 
-Everything is DataFrame functions. The turns of a pair are put together in pieces of `PIECE_TURNS` turn
-numbers, so a conversation of any length is never one row: it comes out as several rows of one pair, in the order of
-column `piece`. Where the conversations part is a minimum over the pieces.
+Everything is DataFrame functions. The different turns of a pair, both sides together, are numbered in their order by a
+sort of all pairs, and put together in pieces of `PIECE_TURNS` of them, so a conversation of any length is never one row,
+whether its turns have numbers or not: it comes out as several rows of one pair, in the order of
+column `piece`. Where the conversations part is a minimum over the turns that only one side has.
 
 Defined results: turns are ordered by number, role and text, those without a number last; a repeated row is one turn; a
 null role or text is empty; rows without a conversation belong to no pair; a conversation without its partner gives no row; two equal conversations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coratia.operators.ids import dense_codes
 from coratia.plans.lineage import store
 
 PIECE_TURNS = 1_000
@@ -42,6 +44,31 @@ def neighbouring_pairs(conversations: DataFrame, conversation: str = "conv_id")
     )
 
 
+def answer_pairs(conversations: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """The same with each conversation as chosen, and as rejected the conversation with its last answer taken from the next one.
+
+    The next one is that with the next greater id, of those that have an answer; after the last comes the first. A
+    conversation without an answer, or whose answer is the same as the next one's, is a pair of two equal ones.
+    """
+    turns = conversations.filter(F.col(conversation).isNotNull()).select(
+        F.col(conversation).alias("pair_id"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(_LAST)).alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    answers = turns.filter(F.col("role") == LEARNT).groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    numbered = store(dense_codes(answers, [F.asc("pair_id")], "code"), "answers")
+    before = F.pmod(F.col("code") - 1, F.lit(max(numbered.rows, 1)))
+    given = numbered.df.select(before.alias("code"), F.col("own.text").alias("given"))
+    swaps = numbered.df.join(numbered.fits(given), "code").select("pair_id", "own", "given")
+    sides = turns.join(numbered.fits(swaps), "pair_id", "left").withColumn(
+        "side", F.explode(F.array(F.lit(CHOSEN), F.lit(REJECTED)))
+    )
+    last = (F.col("role") == LEARNT) & (F.struct("turn", "text") == F.col("own")) & (F.col("side") == REJECTED)
+    text = F.when(F.coalesce(last, F.lit(False)), F.col("given")).otherwise(F.col("text"))
+    return sides.select("pair_id", "side", "turn", "role", text.alias("text"))
+
+
 def stated_pairs(conversations: DataFrame, pairs: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """The same for `pairs` (pair_id, chosen, rejected), which name conversations; one may be in many pairs."""
     sides = pairs.select(
@@ -88,45 +115,48 @@ def _learnt(turns: Column) -> Column:
 
 def preference_rows(turns: DataFrame, piece_turns: int = PIECE_TURNS) -> DataFrame:
     """(pair_id, piece, prompt, chosen, rejected, chosen_learnt, rejected_learnt) of (pair_id, side, turn, role, text)."""
-    number = F.coalesce("turn", F.lit(_LAST))
-    row = F.struct(
-        number.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    pieces = turns.groupBy("pair_id", F.floor(number / piece_turns).cast("long").alias("piece")).agg(
-        *[
-            F.array_sort(F.collect_set(F.when(F.col("side") == side, row))).alias(name)
-            for name, side in (("c", CHOSEN), ("r", REJECTED))
-        ]
-    )
-    apart = F.concat(F.array_except("c", "r"), F.array_except("r", "c"))
-    pieces = store(pieces.withColumn("parts_at", F.array_min(F.transform(apart, lambda t: t["turn"]))), "pieces")
+    merged = turns.groupBy(
+        "pair_id",
+        F.coalesce("turn", F.lit(_LAST)).alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    ).agg(F.max(F.col("side") == CHOSEN).alias("in_c"), F.max(F.col("side") == REJECTED).alias("in_r"))
+    order = [F.asc(c) for c in ("pair_id", "turn", "role", "text")]
+    coded = store(dense_codes(merged.filter("pair_id is not null"), order, "code"), "turns")
     pairs = store(
-        pieces.df.groupBy("pair_id")
+        coded.df.groupBy("pair_id")
         .agg(
-            F.min("parts_at").alias("border"),
-            F.max(F.size("c") > 0).alias("has_c"),
-            F.max(F.size("r") > 0).alias("has_r"),
+            F.min(F.when(~(F.col("in_c") & F.col("in_r")), F.col("turn"))).alias("border"),
+            F.min("code").alias("first"),
+            F.max("in_c").alias("has_c"),
+            F.max("in_r").alias("has_r"),
         )
         .filter("has_c and has_r")
-        .select("pair_id", "border"),
+        .select("pair_id", "border", "first"),
         "pairs",
     )
     # A turn at the border differs in part of its rows at most: all its rows belong to the completions.
-    joined = pieces.df.join(pairs.sized(), "pair_id")
-
-    def part(side: str, after: bool) -> Column:
-        def inside(turn: Column) -> Column:
-            common = F.coalesce(turn["turn"] < F.col("border"), F.lit(True))
-            return ~common if after else common
+    common = F.coalesce(F.col("turn") < F.col("border"), F.lit(True))
+    row = F.struct("turn", "role", "text")
 
-        return F.filter(side, inside)
+    def part(condition: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(condition, row)))
 
-    return joined.select(
+    pieces = (
+        coded.df.join(pairs.sized(), "pair_id")
+        .groupBy("pair_id", F.floor((F.col("code") - F.col("first")) / piece_turns).cast("long").alias("piece"))
+        .agg(
+            part(common).alias("p"),
+            part(~common & F.col("in_c")).alias("c"),
+            part(~common & F.col("in_r")).alias("r"),
+        )
+    )
+    return pieces.select(
         "pair_id",
         "piece",
-        _rendered(part("c", False)).alias("prompt"),
-        _rendered(part("c", True)).alias("chosen"),
-        _rendered(part("r", True)).alias("rejected"),
-        _learnt(part("c", True)).alias("chosen_learnt"),
-        _learnt(part("r", True)).alias("rejected_learnt"),
+        _rendered(F.col("p")).alias("prompt"),
+        _rendered(F.col("c")).alias("chosen"),
+        _rendered(F.col("r")).alias("rejected"),
+        _learnt(F.col("c")).alias("chosen_learnt"),
+        _learnt(F.col("r")).alias("rejected_learnt"),
     )

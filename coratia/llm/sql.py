@@ -190,17 +190,31 @@ select doc_id, size, source_size, target, (size * copies)::bigint taken, copies
 def preferences_sql() -> str:
     start, end = preferences.OPEN, preferences.CLOSE
     return rf"""
-with turns as (
-    select distinct conv_id >> 1 pair_id, conv_id & 1 side, coalesce(turn, {preferences._LAST}) turn, coalesce(role, '') as role, coalesce(text, '') as text
+with given as (
+    select conv_id, coalesce(turn, {preferences._LAST}) turn, coalesce(role, '') as role, coalesce(text, '') as text
     from conversations where conv_id is not null
 ),
-whole as (select pair_id from turns group by pair_id having count(distinct side) = 2),
-shared as (select pair_id, turn, role, text, count(*) n from turns group by all),
+answers as (select conv_id, max((turn, text)) own from given where role = '{preferences.LEARNT}' group by conv_id),
+-- The rejected side has the answer of the next conversation; after the last comes the first.
+swaps as (
+    select conv_id, own, coalesce(lead(own) over (order by conv_id), first_value(own) over (order by conv_id))[2] given from answers
+),
+turns as (
+    select conv_id pair_id, 0 side, turn, role, text from given
+    union
+    select g.conv_id, 1, turn, role, case when role = '{preferences.LEARNT}' and (turn, text) = own then given else text end
+    from given g left join swaps using (conv_id)
+),
+shared as (
+    select *, (row_number() over (partition by pair_id order by turn, role, text) - 1) // {preferences.PIECE_TURNS} piece
+    from (select pair_id, turn, role, text, count(*) n from turns group by all)
+),
 borders as (select pair_id, min(turn) filter (n = 1) border from shared group by pair_id),
 parts as (
-    select t.*, turn // {preferences.PIECE_TURNS} piece, turn >= coalesce(border, 9223372036854775807) after,
-        '{start}' || replace(role, '<|', '< |') || chr(10) head, replace(text, '<|', '< |') || '{end}' body
-    from turns t join whole using (pair_id) join borders using (pair_id)
+    select t.*, piece, t.turn >= coalesce(border, 9223372036854775807) after,
+        '{start}' || replace(t.role, '<|', '< |') || chr(10) head, replace(t.text, '<|', '< |') || '{end}' body
+    from turns t join borders using (pair_id) join shared s
+        on s.pair_id = t.pair_id and s.turn = t.turn and s.role = t.role and s.text = t.text
 ),
 placed as (
     select *, coalesce(sum(length(head) + length(body) + 1) over (

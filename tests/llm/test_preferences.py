@@ -70,10 +70,43 @@ def test_long_conversations_come_in_pieces(spark):
     rows = [(conv, t, "assistant", "same" if t < 25 else f"{conv}", "") for conv in (0, 1) for t in range(40)]
     turns = preferences.neighbouring_pairs(spark.createDataFrame(rows, SCHEMA))
     got = preferences.preference_rows(turns, piece_turns=10).orderBy("piece").collect()
-    assert [r["piece"] for r in got] == [0, 1, 2, 3]
+    # 25 shared turns and 15 more of each side are 55 different turns.
+    assert [r["piece"] for r in got] == [0, 1, 2, 3, 4, 5]
     assert ["".join(r[c] for r in got) for c in ("prompt", "chosen", "rejected")] == list(brute(rows)[0][:3])
 
 
+def test_turns_without_a_number_come_in_pieces(spark):
+    rows = [(conv, None, "user", f"{t:03}" if t < 90 else f"{conv}{t}", "") for conv in (0, 1) for t in range(100)]
+    turns = preferences.neighbouring_pairs(spark.createDataFrame(rows, SCHEMA))
+    got = preferences.preference_rows(turns, piece_turns=10).orderBy("piece").collect()
+    assert len(got) == 11 and max(r["chosen"].count("user") for r in got) <= 10
+    # Nothing is before the turn in which they differ: those without a number are all at one place.
+    assert ["".join(r[c] for r in got) for c in ("prompt", "chosen", "rejected")] == list(brute(rows)[0][:3])
+
+
+def test_answers_of_the_next_conversation(spark):
+    rows = conversations(3)
+    talks: dict[int, set] = {}
+    for conv, turn, role, text, _ in rows:
+        if conv is not None:
+            talks.setdefault(conv, set()).add((1 << 61 if turn is None else turn, role or "", text or ""))
+    answered = [c for c in sorted(talks) if any(r == "assistant" for _, r, _ in talks[c])]
+    own = {c: max((t, x) for t, r, x in talks[c] if r == "assistant") for c in answered}
+    paired = []
+    for conv, turns in talks.items():
+        other = set(turns)
+        if conv in own:
+            turn, text = own[conv]
+            given = own[answered[(answered.index(conv) + 1) % len(answered)]][1]
+            other = other - {(turn, "assistant", text)} | {(turn, "assistant", given)}
+        paired += [(2 * conv, *t) for t in turns] + [(2 * conv + 1, *t) for t in other]
+    expected = brute(paired)
+    frame = preferences.preference_rows(preferences.answer_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert {r["pair_id"]: tuple(r)[2:] for r in frame.collect()} == expected
+    assert set(expected) == set(talks)
+    assert 2 * sum(bool(x[0]) for x in expected.values()) > len(expected)
+
+
 def test_stated_pairs_may_share_a_conversation(spark):
     rows = [(c, t, "user", f"{t}" if t < c else f"{c}", "") for c in range(3) for t in range(3)]
     pairs = spark.createDataFrame([(10, 2, 0), (11, 2, 1)], "pair_id long, chosen long, rejected long")
@@ -83,7 +116,7 @@ def test_stated_pairs_may_share_a_conversation(spark):
 
 
 def test_empty_and_native(spark, capsys):
-    turns = preferences.neighbouring_pairs(spark.createDataFrame([], SCHEMA))
+    turns = preferences.answer_pairs(spark.createDataFrame([], SCHEMA))
     frame = preferences.preference_rows(turns)
     assert frame.count() == 0
     frame.explain()

@@ -532,6 +532,15 @@ def counted_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _spelled_items(baskets.count_candidates(items, pairs, support))
 
 
+@_register("son_candidates_3", _SON + " SELECT concat_ws(',', i1, i2, i3) AS items FROM c3")
+def son_candidates_3(spark: SparkSession, folder: str) -> DataFrame:
+    items = _chunked_items(spark, folder)
+    support = _support(items)
+    singles = baskets.count_candidates(items, baskets.son_candidates(items, support), support)
+    pairs = baskets.count_candidates(items, baskets.son_candidates(items, support, singles), support)
+    return _spelled_items(baskets.son_candidates(items, support, pairs))
+
+
 # --- similar pairs --------------------------------------------------------------------
 
 
@@ -733,6 +742,62 @@ def cf_item(spark: SparkSession, folder: str) -> DataFrame:
     return _rated_answers(recommend.predict_item_based(ratings, requests))
 
 
+def _excluding_sql(key: str, by: str) -> str:
+    """asked (u, b), and sums: what each asked `key` shares with others of its `by`, without the `by` asked about."""
+    other = f"x.{by} <> a.{by}"
+    return f"""
+asked AS (SELECT DISTINCT u, b FROM requests),
+sums AS (
+  SELECT a.u, a.b, c.{key} AS two, any_value(c.r) AS r, count(*) FILTER ({other}) AS n,
+         sum(x.r) FILTER ({other}) AS sx, sum(y.r) FILTER ({other}) AS sy, sum(x.r * x.r) FILTER ({other}) AS sxx,
+         sum(y.r * y.r) FILTER ({other}) AS syy, sum(x.r * y.r) FILTER ({other}) AS sxy
+  FROM asked a JOIN cells c ON c.{by} = a.{by} AND c.{key} <> a.{key}
+  JOIN cells x ON x.{key} = a.{key} JOIN cells y ON y.{key} = c.{key} AND y.{by} = x.{by}
+  GROUP BY 1, 2, 3 HAVING count(*) > 2
+),
+pairs AS (SELECT u, b, two, r, {_CORRELATION} AS w FROM sums WHERE n * sxy - sx * sy > 0)"""
+
+
+@_register(
+    "cf_user_exclude_self",
+    f"""
+WITH {_RATED}, {_excluding_sql("u", "b")},
+found AS (
+  SELECT p.u, p.b, sum(w * (p.r - (v.s - p.r) / (v.n - 1))) / sum(w) AS deviation
+  FROM pairs p JOIN users v ON v.u = two GROUP BY p.u, p.b
+),
+raters AS (
+  SELECT a.u, a.b, count(*) FILTER (c.u <> a.u) AS k FROM asked a JOIN cells c ON c.b = a.b GROUP BY a.u, a.b
+)
+SELECT q.u AS user_id, q.b AS business_id,
+       round(CASE WHEN m.n IS NULL THEN 3.72
+                  WHEN k > 1 AND deviation IS NOT NULL THEN greatest(1.75, least(4.5, m.s / m.n + deviation))
+                  ELSE m.s / m.n END, 6) AS rating
+FROM requests q LEFT JOIN users m ON m.u = q.u LEFT JOIN raters k ON k.u = q.u AND k.b = q.b
+LEFT JOIN found f ON f.u = q.u AND f.b = q.b""",
+)
+def cf_user_exclude_self(spark: SparkSession, folder: str) -> DataFrame:
+    ratings, requests = _ratings(spark, folder)
+    return _rated_answers(recommend.predict_user_based(ratings, requests, exclude_self=True))
+
+
+@_register(
+    "cf_item_exclude_self",
+    f"""
+WITH {_RATED}, {_excluding_sql("b", "u")},
+found AS (SELECT u, b, sum(w * r) / sum(w) AS estimate, count(*) AS neighbours FROM pairs GROUP BY u, b)
+SELECT q.u AS user_id, q.b AS business_id,
+       round(CASE WHEN m.n IS NULL THEN 3.72
+                  WHEN neighbours > 12 THEN greatest(1.75, least(4.5, estimate))
+                  ELSE m.s / m.n END, 6) AS rating
+FROM requests q LEFT JOIN items m ON m.b = q.b
+LEFT JOIN found f ON f.u = q.u AND f.b = q.b""",
+)
+def cf_item_exclude_self(spark: SparkSession, folder: str) -> DataFrame:
+    ratings, requests = _ratings(spark, folder)
+    return _rated_answers(recommend.predict_item_based(ratings, requests, exclude_self=True))
+
+
 @_register("als_predict")
 def als_predict(spark: SparkSession, folder: str) -> DataFrame:
     train, requests = _train_and_requests(spark, folder)
@@ -879,21 +944,30 @@ def source_csv_fields(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _placed_lines(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """(line, place): the lines of a folder of text, numbered as the files hold them; headers are at -1, one for all files."""
+    lines = readers.with_line_order(spark.read.text(path).withColumnRenamed("value", "line"), "at")
+    at_head = F.col("line") == F.lit(header) if header else F.lit(False)
+    placed = ids.dense_codes(lines.filter(~at_head), [F.asc("at")], "place").drop("at")
+    heads = lines.filter(at_head).groupBy("line").agg(F.lit(-1).cast("long").alias("place"))
+    return placed.unionByName(heads)
+
+
 @_register(
     "sink_averages",
     """
-SELECT 'state,stars' AS line
+SELECT 'state,stars' AS line, -1 AS place
 UNION ALL
-SELECT n_name || ',' || CAST(CAST(avg(o_totalprice) AS DECIMAL(18, 2)) AS VARCHAR)
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-GROUP BY n_name""",
+SELECT n_name || ',' || CAST(stars AS VARCHAR), row_number() OVER (ORDER BY stars DESC, n_name) - 1 FROM (
+  SELECT n_name, CAST(avg(o_totalprice) AS DECIMAL(18, 2)) AS stars
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  GROUP BY n_name)""",
 )
 def sink_averages(spark: SparkSession, folder: str) -> DataFrame:
     path = _scratch(spark)
     averages = _state_averages(spark, folder).withColumn("stars", F.col("stars").cast("decimal(18, 2)"))
     writers.write_csv(averages, path, [F.desc("stars"), "state"])
-    # The header comes once per part file.
-    return spark.read.text(path).select(F.col("value").alias("line")).distinct()
+    return _placed_lines(spark, path, "state,stars")
 
 
 @_register(
@@ -927,15 +1001,31 @@ def sink_edge_betweenness(spark: SparkSession, folder: str) -> DataFrame:
     "sink_communities",
     f"""
 WITH RECURSIVE {_PATHS},
-members AS (SELECT node, min(root) AS community FROM distances GROUP BY node)
-SELECT count(*) OVER (PARTITION BY community) || ',' || community || ',' || node AS line FROM members""",
+members AS (SELECT node, min(root) AS community FROM distances GROUP BY node),
+sized AS (SELECT count(*) OVER (PARTITION BY community) AS size, community, node FROM members)
+SELECT 'size,community,node' AS line, -1 AS place
+UNION ALL
+SELECT size || ',' || community || ',' || node, row_number() OVER (ORDER BY size, community, node) - 1 FROM sized""",
 )
 def sink_communities(spark: SparkSession, folder: str) -> DataFrame:
     path = _scratch(spark)
     writers.write_communities(components(spark, folder), path)
-    # The header comes once per part file.
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
-    return lines.filter(F.col("line") != "size,community,node")
+    return _placed_lines(spark, path, "size,community,node")
+
+
+@_register(
+    "sink_community_lines",
+    f"""
+WITH RECURSIVE {_PATHS},
+members AS (SELECT node, min(root) AS community FROM distances GROUP BY node)
+SELECT string_agg(CAST(node AS VARCHAR), ', ' ORDER BY node) AS line,
+       row_number() OVER (ORDER BY count(*), community) - 1 AS place
+FROM members GROUP BY community""",
+)
+def sink_community_lines(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark)
+    writers.write_communities(components(spark, folder), path, lines=True)
+    return _placed_lines(spark, path)
 
 
 # --- the method switch, and the sinks of predictions, pairs and statistics -------------

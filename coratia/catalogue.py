@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from coratia.functions import words
 from coratia.operators import baskets, graph, ids, recommend, similarity, stats
 from coratia.plans.lineage import cut_lineage, fresh_path
+from coratia.plans.scan import dealt_out
 from coratia.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,7 +130,7 @@ items AS (SELECT b, sum(stars) AS s, count(*) AS n FROM train GROUP BY b)"""
 
 
 def _document_words(spark: SparkSession, folder: str) -> DataFrame:
-    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    documents = dealt_out(_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return documents.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
 
 
@@ -218,6 +219,59 @@ betweenness AS (
 )
 
 
+# Rounds of splitting that the SQL spells out; the graph at sf0.01 needs seven.
+_SPLIT_ROUNDS = 9
+
+
+def _split_sql(rounds: int) -> str:
+    """g0, g1, ...: the graph after so many rounds of dropping its top edges; m0, m1, ...: its components; q0, q1, ...: their modularity."""
+    parts = [_GRAPH.replace(f">= {GRAPH_THRESHOLD}", f">= {COMMUNITY_THRESHOLD}"), "g0 AS MATERIALIZED (SELECT src, dst FROM edges)"]
+    for k in range(rounds + 1):
+        parts.append(f"""
+reached{k}(root, node, level) AS (
+  SELECT DISTINCT src, src, 0 FROM edges
+  UNION
+  SELECT root, dst, level + 1 FROM reached{k} JOIN g{k} ON src = node
+  WHERE level < (SELECT count(DISTINCT src) FROM edges)
+),
+distances{k} AS MATERIALIZED (SELECT root, node, min(level) AS level FROM reached{k} GROUP BY root, node),
+m{k} AS MATERIALIZED (SELECT node, min(root) AS community FROM distances{k} GROUP BY node),
+q{k} AS (
+  SELECT {k} AS round, sum(e / m2 - (d / m2) * (d / m2)) AS q FROM (
+    SELECT a.community, count(*) AS d, count(*) FILTER (WHERE a.community = b.community) AS e
+    FROM edges JOIN m{k} a ON a.node = src JOIN m{k} b ON b.node = dst GROUP BY 1), (SELECT count(*) AS m2 FROM edges)
+)""")
+        if k == rounds:
+            break
+        parts.append(f"""
+walks{k}(root, node, level) AS (
+  SELECT DISTINCT src, src, 0 FROM edges
+  UNION ALL
+  SELECT w.root, e.dst, w.level + 1 FROM walks{k} w JOIN g{k} e ON e.src = w.node
+  JOIN distances{k} d ON d.root = w.root AND d.node = e.dst AND d.level = w.level + 1
+),
+paths{k} AS MATERIALIZED (SELECT root, node, level, count(*) AS sigma FROM walks{k} GROUP BY root, node, level),
+between{k} AS MATERIALIZED (
+  SELECT least(e.src, e.dst) AS src, greatest(e.src, e.dst) AS dst, round(sum(p.sigma * q.sigma / st.sigma), 9) AS value
+  FROM g{k} e JOIN paths{k} p ON p.node = e.src JOIN paths{k} q ON q.root = e.dst
+  JOIN paths{k} st ON st.root = p.root AND st.node = q.node AND st.level = p.level + 1 + q.level
+  WHERE p.root < q.node GROUP BY 1, 2
+),
+g{k + 1} AS MATERIALIZED (
+  SELECT g.src, g.dst FROM g{k} g JOIN between{k} b ON b.src = least(g.src, g.dst) AND b.dst = greatest(g.src, g.dst)
+  WHERE (SELECT max(value) FROM between{k}) > 1 AND value < (SELECT max(value) FROM between{k})
+)""")
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
+def _best_split_sql(rounds: int) -> str:
+    scores = " UNION ALL ".join(f"SELECT * FROM q{k}" for k in range(rounds + 1))
+    members = " UNION ALL ".join(f"SELECT {k} AS round, node, community FROM m{k}" for k in range(rounds + 1))
+    return f"""{_split_sql(rounds)},
+best AS (SELECT round FROM ({scores}) ORDER BY round(q, 9) DESC, round LIMIT 1)
+SELECT node, community FROM ({members}) JOIN best USING (round)"""
+
+
 # --- statistics -------------------------------------------------------------------
 
 
@@ -246,6 +300,27 @@ def distinct_items(spark: SparkSession, folder: str) -> DataFrame:
     return stats.distinct_count(_table(spark, folder, "lineitem"), "l_partkey")
 
 
+@_register(
+    "distinct_users_sketched",
+    """
+WITH days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id FROM events)
+SELECT coalesce(day, 'all') AS period, count(DISTINCT user_id) AS n, true AS near
+FROM days GROUP BY GROUPING SETS ((day), ())""",
+)
+def distinct_users_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users per day and of all days, and whether the sketches of the days, stored and united, come near (5 errors)."""
+    events = _table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("period"), "user_id")
+    daily = cut_lineage(stats.distinct_sketches(events, ["period"], "user_id"))
+    united = stats.united_sketches(daily).select(F.lit("all").alias("period"), "sketch")
+    estimated = stats.sketched_counts(daily.unionByName(united), "estimate")
+    exact = events.groupBy("period").agg(F.count_distinct("user_id").alias("n"))
+    total = stats.distinct_count(events, "user_id").select(F.lit("all").alias("period"), "n")
+    allowed = F.col("n") * (5 * stats.sketch_error()) + 1
+    return exact.unionByName(total).join(estimated, "period").select(
+        "period", "n", (F.abs(F.col("estimate") - F.col("n")) <= allowed).alias("near")
+    )
+
+
 @_register(
     "top20_users",
     "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 20",
@@ -431,6 +506,12 @@ def frequent_itemsets(spark: SparkSession, folder: str) -> DataFrame:
     return _spelled_items(baskets.frequent_itemsets(items, _support(items)))
 
 
+@_register("frequent_itemsets_fp", SQL["frequent_itemsets"])
+def frequent_itemsets_fp(spark: SparkSession, folder: str) -> DataFrame:
+    items = cut_lineage(baskets.basket_items(_brand_lines(spark, folder), "l_orderkey", "p_brand"))
+    return _spelled_items(baskets.frequent_itemsets_fp(items, _support(items)))
+
+
 @_register(
     "frequent_itemsets_filtered",
     _itemset_sql(
@@ -441,7 +522,7 @@ def frequent_itemsets(spark: SparkSession, folder: str) -> DataFrame:
 def frequent_itemsets_filtered(spark: SparkSession, folder: str) -> DataFrame:
     lines = _brand_lines(spark, folder)
     items = cut_lineage(baskets.basket_items(lines, "l_orderkey", "p_brand", MIN_ITEMS))
-    return _spelled_items(baskets.frequent_itemsets(items, _support(items)))
+    return _spelled_items(baskets.frequent_itemsets_fp(items, _support(items)))
 
 
 _SON = f"""
@@ -804,6 +885,24 @@ def als_predict(spark: SparkSession, folder: str) -> DataFrame:
     return recommend.predict(train, requests, method=1)
 
 
+@_register(
+    "als_products",
+    f"""
+WITH {_RATED}
+SELECT u AS user_id, b AS business_id,
+       u NOT IN (SELECT u FROM train) OR b NOT IN (SELECT b FROM train) AS cold, true AS holds
+FROM requests""",
+)
+def als_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Per request, whether the answer is the product of the factors, or the constant where user or item is unseen."""
+    train, requests = _train_and_requests(spark, folder)
+    found = recommend.als_products(train, requests)
+    said = F.coalesce("product", F.lit(recommend.ALS_COLD_START))
+    return found.select(
+        "user_id", "business_id", F.col("product").isNull().alias("cold"), (F.abs(F.col("rating") - said) < 1e-4).alias("holds")
+    )
+
+
 # --- graph ----------------------------------------------------------------------------------
 
 
@@ -886,7 +985,12 @@ def drop_top_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.drop_top_edges(edges, graph.edge_betweenness(edges))
 
 
-@_register("communities")
+@_register("first_split", f"{_split_sql(1)} SELECT node, community FROM m1")
+def first_split(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.first_split(_event_graph(spark, folder, COMMUNITY_THRESHOLD))
+
+
+@_register("communities", _best_split_sql(_SPLIT_ROUNDS))
 def communities(spark: SparkSession, folder: str) -> DataFrame:
     return graph.girvan_newman(_event_graph(spark, folder, COMMUNITY_THRESHOLD))
 

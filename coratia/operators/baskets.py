@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +196,40 @@ def frequent_itemsets(
     return _union(report)
 
 
+def frequent_itemsets_fp(
+    items: DataFrame,
+    support: int,
+    max_size: int | None = None,
+    big: int = BIG_BASKET,
+    limit: int = MATCHES_PER_CELL,
+) -> DataFrame:
+    """The rows of `frequent_itemsets`, from FP-trees that depend on groups of items.
+
+    Infrequent items go before the baskets become arrays, so one basket travels as one row of at most `big` frequent items. If any basket
+    has more, it would be a row and a branch of every tree without a bound, and the levels answer instead. The trees
+    of the groups are built apart; the driver holds the frequent items, of which there are no more than the items of an
+    average basket divided by the share of baskets that `support` is.
+    """
+    if support < 1:
+        raise ValueError("support must be at least 1")
+    items = cut_lineage(items.select("basket", "item"))
+    single = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= support).select("item")
+    singles = store(single, "frequent")
+    if not singles.rows:
+        return _empty_report(items)
+    kept = store(items.join(singles.sized(), "item", "left_semi"), "kept").df
+    per_basket = store(basket_sizes(kept), "sizes")
+    if per_basket.df.agg(F.max("n_items")).first()[0] > big:
+        return frequent_itemsets(items, support, max_size, big, limit)
+    arrays = store(kept.groupBy("basket").agg(F.collect_list("item").alias("items")).select("items"), "arrays")
+    # The support is given as a share and rounded up: half a basket less stays clear of both neighbours.
+    model = FPGrowth(itemsCol="items", minSupport=(support - 0.5) / arrays.rows).fit(arrays.df)
+    found = model.freqItemsets.select(
+        F.size("items").alias("size"), F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq")
+    )
+    return cut_lineage(found if max_size is None else found.filter(F.col("size") <= max_size))
+
+
 def _report_rows(level: DataFrame, size: int) -> DataFrame:
     return level.select(F.lit(size).alias("size"), "items", "freq")
 

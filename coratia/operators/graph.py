@@ -436,6 +436,12 @@ def drop_top_edges(edges: DataFrame, betweenness: DataFrame) -> DataFrame:
     return drop_edges(edges, top_edges(betweenness))
 
 
+def first_split(edges: DataFrame, batches: int | None = None, hub: int = HUB_EDGES) -> DataFrame:
+    """(node, community): the components once the edges with the highest betweenness are dropped, one round of the splitting."""
+    edges = cut_lineage(edges.select("src", "dst"))
+    return components(nodes_of(edges), cut_lineage(drop_top_edges(edges, store(edge_betweenness(edges, batches, hub)).df)))
+
+
 def girvan_newman(edges: DataFrame, batches: int | None = None, hub: int = HUB_EDGES) -> DataFrame:
     """(node, community): the split with the highest modularity, the first one if several tie.
 
@@ -476,5 +482,6 @@ def girvan_newman(edges: DataFrame, batches: int | None = None, hub: int = HUB_E
             )
         )
         value = modularity(edges, member.sized()).first()["modularity"]
-        if value > best_value:
+        # Splits that differ only by the order of their sums tie.
+        if round(value, TIE_DECIMALS) > round(best_value, TIE_DECIMALS):
             best, best_value = member.df, value

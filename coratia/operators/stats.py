@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Sketches of distinct keys have two to the power of this many registers.
+SKETCH_BITS = 12
+
 
 def count_where(df: DataFrame, predicate: Column, name: str = "n") -> DataFrame:
     """Number of rows that satisfy `predicate` (one row)."""
@@ -23,6 +26,30 @@ def distinct_count(df: DataFrame, key: str, name: str = "n", approximate: bool =
     return df.agg(F.count_distinct(key).alias(name))
 
 
+def distinct_sketches(df: DataFrame, by: list[str], key: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """(by..., sketch): one HyperLogLog sketch of 2 ** `bits` registers per group, to be stored and united later.
+
+    A sketch has a bounded size however many keys it has seen, and repeated or late rows do no harm. NULL keys are not
+    counted; groups without any other key have an empty sketch. `key` is an integer, a text or binary.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(key, F.lit(bits)).alias("sketch"))
+
+
+def united_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., sketch): the sketches of a group as one, as if drawn from all of its rows; without `by` one row."""
+    return sketches.groupBy(*(by or [])).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame, name: str = "n") -> DataFrame:
+    """The sketches as estimated numbers of distinct keys."""
+    return sketches.withColumn(name, F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0).cast("long"))).drop("sketch")
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """The relative standard error of an estimate from united sketches."""
+    return 1.04 / 2 ** (bits / 2)
+
+
 def count_per_key(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 

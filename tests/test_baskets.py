@@ -168,3 +168,31 @@ def test_empty(spark):
     assert baskets.frequent_itemsets(_lines(spark, ["a", "b"]), 2).collect() == []
     with pytest.raises(ValueError):
         baskets.frequent_itemsets(items, 0)
+
+
+@pytest.mark.parametrize("support", [1, 7, 12, 61])
+def test_trees_find_what_the_levels_find(spark, support):
+    groups = _random_groups(5)
+    items = baskets.basket_items(_lines(spark, groups), "basket", "item")
+    found = [(size, tuple(names), n) for size, names, n in rows(baskets.frequent_itemsets_fp(items, support))]
+    assert sorted(found) == _brute(groups, support)
+
+
+def test_trees_stop_at_the_size_asked_for(spark):
+    items = baskets.basket_items(_lines(spark, SMALL), "basket", "item")
+    assert rows(baskets.frequent_itemsets_fp(items, 3, max_size=2)) == rows(baskets.frequent_itemsets(items, 3, max_size=2))
+
+
+def test_a_basket_too_big_for_a_row_goes_to_the_levels(spark, monkeypatch):
+    groups = _random_groups(6)
+    items = baskets.basket_items(_lines(spark, groups), "basket", "item")
+    asked = []
+    monkeypatch.setattr(baskets, "FPGrowth", lambda **_: asked.append(1))
+    found = [(size, tuple(names), n) for size, names, n in rows(baskets.frequent_itemsets_fp(items, 9, big=3))]
+    assert sorted(found) == _brute(groups, 9) and not asked
+
+
+def test_trees_of_nothing(spark):
+    items = baskets.basket_items(_lines(spark, []), "basket", "item")
+    found = baskets.frequent_itemsets_fp(items, 2)
+    assert found.columns == ["size", "items", "freq"] and found.collect() == []

@@ -263,3 +263,11 @@ def test_betweenness_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     assert found["BD"] == 12.0 and found["AC"] == 1.0 and len(found) == 9
     # Two batches were written before the break, so two more searches were needed.
     assert len(calls) == 5
+
+
+def test_first_split(spark):
+    edges = _edges(spark, ["AB", "BC", "AC", "CD", "DE", "EF", "DF"])
+    assert _parts(graph.first_split(edges)) == [("A", "B", "C"), ("D", "E", "F")]
+    ring = _edges(spark, ["AB", "BC", "CD", "AD"])  # all edges tie and go together
+    assert _parts(graph.first_split(ring)) == [("A",), ("B",), ("C",), ("D",)]
+    assert graph.first_split(edges.limit(0)).collect() == []

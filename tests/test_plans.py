@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from coratia.operators import stats
 from coratia.plans.lineage import BROADCAST_ROWS, Stored, cut_lineage, store
+from coratia.plans.scan import dealt_out
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,18 @@ def test_stored_rows_are_counted_once(spark):
 def test_checkpoints_go_to_the_named_folder(spark):
     cut_lineage(spark.range(3))
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_only_scans_smaller_than_the_cores_are_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.range(1_000).selectExpr("id", "cast(id as string) as text").coalesce(1).write.parquet(path)
+    small = spark.read.parquet(path)
+    dealt = dealt_out(small, "id")
+    assert "RepartitionByExpression" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(1_000))
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+    try:
+        assert dealt_out(small, "id") is small
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)

@@ -89,3 +89,24 @@ def test_dense_codes_over_many_partitions(spark):
     codes = ids.dense_codes(spark.range(10_000, numPartitions=16).repartition(13), [F.desc("id")])
     assert codes.filter(F.col("code") != 9_999 - F.col("id")).isEmpty()
     assert codes.count() == 10_000
+
+
+def test_sketches_of_days_count_like_one_of_all(spark):
+    n = 30_000
+    df = spark.range(n).select((F.col("id") % 7).alias("day"), (F.col("id") % 20_000).alias("key"))
+    df = df.unionByName(df.limit(5_000)).unionByName(df.select("day", F.lit(None).cast("long").alias("key")).limit(10))
+    daily = stats.distinct_sketches(df, ["day"], "key")
+    whole = stats.sketched_counts(stats.united_sketches(daily)).first()["n"]
+    assert abs(whole - 20_000) <= 5 * stats.sketch_error() * 20_000
+    exact = {r["day"]: r["n"] for r in df.groupBy("day").agg(F.count_distinct("key").alias("n")).collect()}
+    for r in stats.sketched_counts(daily).collect():
+        assert abs(r["n"] - exact[r["day"]]) <= 5 * stats.sketch_error() * exact[r["day"]]
+    twice = stats.united_sketches(daily.unionByName(daily), ["day"])
+    assert twice.count() == 7 and {len(r["sketch"]) < 20_000 for r in twice.collect()} == {True}
+
+
+def test_sketches_without_keys(spark):
+    nulls = spark.createDataFrame([("a", None), ("a", None)], "day string, key string")
+    assert rows(stats.sketched_counts(stats.distinct_sketches(nulls, ["day"], "key"))) == [("a", 0)]
+    empty = stats.united_sketches(stats.distinct_sketches(nulls.limit(0), ["day"], "key"))
+    assert rows(stats.sketched_counts(empty)) == [(0,)]

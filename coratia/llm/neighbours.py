@@ -8,7 +8,9 @@ Distinct vectors are dealt into shards of bounded size. Each shard builds its ow
   vertex has its degree: short edges survive, and so do a few long ones in other directions;
 * each kept edge is offered back to its target, which is pruned again when it has too many.
 
-Every query visits every shard by beam search, and the best of all shards are merged.
+Every query visits every shard by beam search, and the best of all shards are merged. An exact check follows in the shard: no vertex
+left unmet by the search may be nearer than the last one found, and any that is takes its place. So crowds larger than
+the beam (near copies, multiples of one vector) and rows that the graph does not lead to are answered in full.
 Shards are found by a hash, so their number grows with the rows and no task holds more than a few shards. Queries are
 taken in blocks, so a task meets a bounded number of them at a time.
 
@@ -40,13 +42,15 @@ PASSES = 2
 BLOCK = 512  # queries or insertions searched together
 QUERY_BLOCK = 20_000  # queries that meet a shard in one task
 SEED = 11
+ROUNDING = 1e-9  # more than two ways to compute a cosine can differ by
 
 
 class Graph:
     """A graph over the rows of `unit`, vectors of length 1; distance is 1 - cosine."""
 
     def __init__(self, unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA):
-        self.unit = np.ascontiguousarray(unit, np.float32)
+        # Doubles: in single precision a crowd of near copies is all at distance 0.
+        self.unit = np.ascontiguousarray(unit, np.float64)
         self.n, self.degree, self.beam, self.alpha = len(unit), degree, beam, alpha
         self.edges = np.full((self.n, degree), -1, np.int32)
         centre = self.unit.mean(axis=0)
@@ -60,9 +64,11 @@ class Graph:
         """
         m = len(queries)
         ids = np.full((m, beam), -1, np.int64)
-        far = np.full((m, beam), np.inf, np.float32)
+        far = np.full((m, beam), np.inf)
         open_ = np.zeros((m, beam), bool)
-        met = np.zeros((m, self.n), bool)
+        # The last column stands for edges that are not there.
+        met = np.zeros((m, self.n + 1), bool)
+        met[:, self.n] = True
         ids[:, 0], far[:, 0], open_[:, 0] = self.entry, 1 - queries @ self.unit[self.entry], True
         met[:, self.entry] = True
         rows = np.arange(m)
@@ -74,11 +80,12 @@ class Graph:
                 break
             open_[rows, first] = False
             around = self.edges[ids[rows, first]].astype(np.int64)
-            fresh = (around >= 0) & ~met[rows[:, None], np.maximum(around, 0)]
-            met[rows[:, None], np.maximum(around, 0)] |= fresh
+            target = np.where(around >= 0, around, self.n)
+            fresh = ~met[rows[:, None], target]
+            met[rows[:, None], target] = True
             distance = np.where(
                 fresh, 1 - np.einsum("rd,rkd->rk", queries[rows], self.unit[np.maximum(around, 0)]), np.inf
-            ).astype(np.float32)
+            )
             all_far = np.concatenate([far[rows], distance], axis=1)
             all_ids = np.concatenate([ids[rows], np.where(fresh, around, -1)], axis=1)
             all_open = np.concatenate([open_[rows], fresh], axis=1)
@@ -111,7 +118,9 @@ class Graph:
         # Random edges to begin with, so that every vertex can be reached.
         if self.n > 1:
             some = min(self.degree, 8, self.n - 1)
-            self.edges[:, :some] = (np.arange(self.n)[:, None] + rng.integers(1, self.n, (self.n, some))) % self.n
+            random = np.sort((np.arange(self.n)[:, None] + rng.integers(1, self.n, (self.n, some))) % self.n, axis=1)
+            random[:, 1:][random[:, 1:] == random[:, :-1]] = -1
+            self.edges[:, :some] = random
         for _ in range(passes):
             order = rng.permutation(self.n)
             for at in range(0, self.n, BLOCK):
@@ -154,6 +163,27 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
+def _verified(query: np.ndarray, near: np.ndarray, close: np.ndarray, exact: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, scores) of the `nearest` best vertices and those equal to the last of them.
+
+    `near` are the vertices found by the graph, `close` the cosines with all vertices up to rounding. A vertex that the graph has missed is scored
+    like the others if it reaches the last score found.
+    """
+    scores = cosines(query, exact[near])
+    if len(near) >= nearest:
+        bound = np.partition(scores, len(scores) - nearest)[len(scores) - nearest]
+        missed = np.flatnonzero(close >= bound - ROUNDING)
+    else:
+        missed = np.arange(len(exact))
+    missed = np.setdiff1d(missed, near, assume_unique=True)
+    if len(missed):
+        near, scores = np.concatenate([near, missed]), np.concatenate([scores, cosines(query, exact[missed])])
+    if len(near) > nearest:
+        best = scores >= np.partition(scores, len(scores) - nearest)[len(scores) - nearest]
+        near, scores = near[best], scores[best]
+    return near, scores
+
+
 def _search_shard(wanted: int, beam: int):
     def run(_key, vertices: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "vec_id", "score"]
@@ -169,11 +199,12 @@ def _search_shard(wanted: int, beam: int):
         out: list[tuple[int, int, float]] = []
         for at in range(0, len(ask), BLOCK):
             part = ask[at : at + BLOCK]
-            directions = (part / np.sqrt((part * part).sum(axis=1))[:, None]).astype(np.float32)
+            directions = part / np.sqrt((part * part).sum(axis=1))[:, None]
             found, _ = graph.search(directions, max(beam, wanted + 1))
-            for query_id, query, near in zip(ask_ids[at : at + BLOCK].tolist(), part, found):
-                near = near[near >= 0]
-                scores = cosines(query, exact[near])
+            close = directions @ unit.T
+            for query_id, query, near, all_close in zip(ask_ids[at : at + BLOCK].tolist(), part, found, close):
+                # One more than asked for: the query's own vector may be among them.
+                near, scores = _verified(query, near[near >= 0], all_close, exact, wanted + 1)
                 answers = [
                     (-score, vec_id)
                     for score, v in zip(scores.tolist(), near.tolist())

@@ -78,3 +78,23 @@ def test_empty_and_few(spark):
     assert neighbours.search(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     assert searched(spark, [(0, [1.0, 2.0], None)], 1) == {}
     assert searched(spark, [(0, [1.0, 2.0], None), (1, [2.0, 1.0], None)], 1) == {0: [1], 1: [0]}
+
+
+def test_crowds_of_near_copies_and_multiples(spark):
+    """Crowds larger than the beam, closer together than single precision tells, and multiples of one vector."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 16))
+    close = centres[rng.integers(0, 4, 500)] + 1e-4 * rng.normal(size=(500, 16))
+    multiples = centres[:1] * 2.0 ** rng.integers(-3, 4, (200, 1)) * rng.integers(1, 99, (200, 1))
+    rows = [(i, v.tolist(), None) for i, v in enumerate(np.concatenate([close, multiples]))]
+    expected = brute(_once(rows), 20)
+    assert searched(spark, rows, 20) == expected
+
+
+def test_search_meets_every_vertex_once():
+    """Missing edges must not reopen the first vertex, which would fill the beam with its copies."""
+    unit = np.random.default_rng(6).normal(size=(200, 4))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    found, _ = neighbours.Graph(unit, degree=12).build().search(unit, 64)
+    for near in found:
+        assert len(set(near[near >= 0].tolist())) == (near >= 0).sum()

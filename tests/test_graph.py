@@ -217,6 +217,32 @@ def test_co_graph(spark):
     )
 
 
+def test_blocked_counts_are_the_shared_counts(spark):
+    draw = Random(2)
+    visits = [(f"u{u}", i) for u in range(50) for i in range(21) if draw.random() < 0.5]
+    df = spark.createDataFrame(visits, "member string, group int")
+    held = {}
+    for u, i in visits:
+        held.setdefault(u, set()).add(i)
+    expected = sorted((u, v, len(held[u] & held[v])) for u in held for v in held if u < v and len(held[u] & held[v]) >= 6)
+    for block in (7, 50, 64):
+        assert rows(graph.blocked_counts(df, 6, block, fewest_matches=0)) == expected
+    assert graph.blocked_counts(df, 6) is None
+    assert graph.blocked_counts(df, 6, cells_per_match=0.5, fewest_matches=0) is None
+    assert graph.blocked_counts(df.limit(0), 6, fewest_matches=0) is None
+
+
+def test_dense_groups_make_no_matches(spark):
+    """Thousands of members in every group: the pairs come from products, no row per match is shuffled."""
+    df = spark.range(4_000).select((F.col("id")).alias("user"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("item"))
+    df = df.filter((F.col("item") != F.col("user") % 13) & (F.col("user") % 13 < 12))
+    pairs = graph.shared_counts(df, "user", "item", 11)
+    assert "FlatMapCoGroupsInPandas" in pairs._jdf.queryExecution().executedPlan().toString()
+    of_rest = [sum(1 for u in range(4_000) if u % 13 == k) for k in range(12)]
+    assert pairs.count() == sum(n * (n - 1) // 2 for n in of_rest)
+    assert pairs.filter("shared != 11 or member_1 >= member_2 or member_1 % 13 != member_2 % 13").isEmpty()
+
+
 def test_empty(spark):
     edges = _edges(spark, []).filter(F.lit(True))
     nodes = graph.nodes_of(edges)

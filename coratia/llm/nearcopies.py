@@ -1,24 +1,26 @@
-"""Near copies by five-word Jaccard similarity: candidates from MinHash bands, each one checked exactly.
+"""Near copies by five-word Jaccard similarity: candidates from SimHash fingerprints and MinHash bands, each one checked exactly.
 
 A text is lower-cased (A-Z only) and cut into words as in `simhash`; its set holds every run of five words (all words, if
 fewer). Texts whose sets have a Jaccard similarity of 0.8 or more are linked; groups are the connected components of the links.
 
 1. Equal sets are merged first, so exact copies never make pairs.
-2. A set has `BANDS` values, each a hash of `ROWS` minima under independent hash functions. Sets that share a value
+2. The SimHash join (`simhash`) groups the fingerprints of the sets' hashes within two bits; each set is checked against the first one of
+   its group.
+3. A set has `BANDS` values, each a hash of `ROWS` minima under independent hash functions. Sets that share a value
    are candidates; a pair at exactly 0.8 shares none with probability (1 - 0.8 ** 3) ** 20 = 6e-7, a pair above it with less.
-3. A group of copies would make the square of its size in pairs, so links are looked for in stars first: of each value's sets
-   the one with the smallest key is the centre, and every other set is compared with one centre, the one that most sets share.
-   A second round does the same with what is not linked to its centres yet. That links nearly all of every group.
-4. What may be missing are links between sets of different groups so far that share a value. All those pairs are looked at, in cells of
+4. A group of copies would make the square of its size in pairs, so links are looked for in stars first: of each value's sets
+   one drawn by a hash is the centre, and every other set is compared with one centre. Further rounds, with other centres and values, do the same
+   with what is not in a group with them yet, as long as they link a fair share. That links nearly all of every group.
+5. What may be missing are links between sets of different groups so far that share a value. All those pairs are looked at, in cells of
    bounded size, by bit maps: every shingle sets a bit, and a bit that only one of two sets has stands for a shingle
    that the other lacks. So the maps bound the similarity from above. Pairs that they leave room for, hardly more than the links
    themselves, are checked. No candidate is left out, however many sets share a value.
-5. Every link is checked by the Jaccard similarity of the two sets. Texts travel once per round, those of a centre with many others
+6. Every link is checked by the Jaccard similarity of the two sets. Texts travel once per round, those of a centre with many others
    to several tasks.
 
 Stored on the way are ids, hashes and, of sets that share a value, bit maps; texts are read again where they are needed.
 
-SimHash is not the way here: fingerprints of two texts at 0.8 differ by some 10 of 64 bits, up to 18, and probing parts for
+SimHash alone is not enough here: fingerprints of two texts at 0.8 differ by some 10 of 64 bits, up to 18, and probing parts for
 so wide a distance meets a large share of all fingerprints.
 
 Defined results: texts that are null, empty or of white space only have the empty set and are copies of each other. Of a group
@@ -37,15 +39,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coratia.llm.simhash import SEED
+from coratia.llm.simhash import BITS, SEED, fingerprint_groups
 from coratia.operators.graph import components
 from coratia.plans.lineage import Stored, store
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 3
-# Rounds of stars before the remaining pairs are looked at.
+# Rounds of stars before the remaining pairs are looked at: at least, and at most while a round still links this share of its pairs.
 STARS = 2
+MOST_STARS = 6
+STAR_YIELD = 0.01
 # Sets of one value that a cell takes from either side.
 STRIP = 1_000
 # Bits of a map: at least this many per shingle, up to the most.
@@ -90,10 +94,24 @@ def band_values(found: np.ndarray) -> np.ndarray:
 
 
 _SET = T.StructType(
-    [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    [
+        T.StructField("key", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("fp", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType())),
+    ]
 )
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes: a bit is set if it is set in more than half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(found), 65_536):
+        block = found[at : at + 65_536].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0])
+
+
 def _key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
@@ -101,13 +119,14 @@ def _key(found: np.ndarray) -> int:
 @F.pandas_udf(_SET)
 def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in texts:
-        keys, sizes, bands = [], [], []
+        keys, sizes, prints, bands = [], [], [], []
         for x in series:
             found = shingles(x)
             keys.append(_key(found))
             sizes.append(len(found))
+            prints.append(set_fingerprint(found))
             bands.append(band_values(found))
-        yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "n": sizes, "bands": bands})
+        yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "n": sizes, "fp": prints, "bands": bands})
 
 
 @F.pandas_udf(T.LongType())
@@ -184,13 +203,27 @@ def _ordered(one: str, two: str) -> list[Column]:
     return [F.least(one, two).alias("src"), F.greatest(one, two).alias("dst")]
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """(src, dst): each set with one centre it is not in a group with yet. `shared` has (value, have, key, n, root)."""
-    centre = shared.groupBy("value").agg(F.min(F.struct("key", "n", "root")).alias("c"))
-    centre = centre.select("value", F.col("c.key").alias("hub"), F.col("c.n").alias("m"), F.col("c.root").alias("hub_root"))
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(src, dst): each set (key, fp) with the smallest key of its group by SimHash fingerprints."""
+    groups = store(fingerprint_groups(sets, "key"), "prints")
+    return sets.join(groups.sized(), "fp").filter("key != component_id").select(*_ordered("key", "component_id"))
+
+
+def star_pairs(shared: DataFrame, turn: int = 0) -> DataFrame:
+    """(src, dst): each set with one centre it is not in a group with yet. `shared` has (value, have, key, n, root).
+
+    Every turn draws other centres, so that sets that are not like one of them meet another.
+    """
+    drawn = F.xxhash64("key", F.lit(turn)).alias("at")
+    centre = shared.groupBy("value").agg(F.min(F.struct(drawn, "key", "n", "root")).alias("c"))
+    centre = centre.select(
+        "value", F.col("c.at").alias("at"), F.col("c.key").alias("hub"), F.col("c.n").alias("m"), F.col("c.root").alias("hub_root")
+    )
     met = shared.join(centre, "value").filter("root != hub_root").filter(_sizes())
-    # The centre of the value that most sets share, so that the sets of a group tend to meet the same one.
-    chosen = met.groupBy("key").agg(F.max(F.struct("have", (-F.col("hub")).alias("order"), "hub")).alias("x"))
+    # First the centre of the value that most sets share, then of a value drawn anew in every turn: the sets of a group tend to meet the same
+    # one, and a value that very many unlike sets share does not stand before all others.
+    first = F.col("have") if turn == 0 else F.xxhash64("value", F.lit(turn))
+    chosen = met.groupBy("key").agg(F.max(F.struct(first.alias("first"), F.bitwise_not("at").alias("order"), "hub")).alias("x"))
     return chosen.select(*_ordered("key", "x.hub"))
 
 
@@ -296,12 +329,10 @@ def _groups(links: DataFrame) -> Stored:
 
 
 def linked_sets(sets: DataFrame, texts: _Texts, strip: int = STRIP) -> Stored | None:
-    """(key, root) of the sets (key, n, bands) that have a similar one; None where no set has."""
+    """(key, root) of the sets (key, n, fp, bands) that have a similar one; None where no set has."""
     named = sets.filter("n > 0").select("key", "n", F.explode("bands").alias("value"))
     counts = store(named.groupBy("value").agg(F.count(F.lit(1)).alias("have")).filter("have > 1"), "values")
     shared = store(named.join(counts.sized(), "value"), "shared")
-    if not shared.rows:
-        return None
     links: DataFrame | None = None
     rooted: Stored | None = None
 
@@ -310,19 +341,27 @@ def linked_sets(sets: DataFrame, texts: _Texts, strip: int = STRIP) -> Stored |
             return shared.df.withColumn("root", F.col("key"))
         return shared.df.join(rooted.sized(), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    for stage in range(STARS + 1):
-        if stage < STARS:
-            pairs = store(star_pairs(labelled()).distinct(), "pairs")
-        else:
-            members = store(shared.df.select("key").distinct(), "members")
-            maps = texts.of(members).select("key", _maps("text").alias("map"))
-            pairs = store(cross_pairs(labelled(), store(maps, "maps").df, strip), "pairs")
-        if not pairs.rows:
-            continue
-        fresh = _linked(pairs, texts)
-        if fresh.rows:
-            links = fresh.df if links is None else links.unionByName(fresh.df)
-            rooted = _groups(links)
+    def check(pairs: Stored) -> int:
+        """How many of the pairs are links, which are added to those there are."""
+        nonlocal links, rooted
+        fresh = _linked(pairs, texts) if pairs.rows else None
+        if fresh is None or not fresh.rows:
+            return 0
+        links = fresh.df if links is None else links.unionByName(fresh.df)
+        rooted = _groups(links)
+        return fresh.rows
+
+    check(store(fingerprint_pairs(sets.filter("n > 0").select("key", "fp")), "pairs"))
+    if not shared.rows:
+        return rooted
+    for turn in range(MOST_STARS):
+        pairs = store(star_pairs(labelled(), turn).distinct(), "pairs")
+        found = check(pairs)
+        if turn + 1 >= STARS and found <= pairs.rows * STAR_YIELD:
+            break
+    members = store(shared.df.select("key").distinct(), "members")
+    maps = texts.of(members).select("key", _maps("text").alias("map"))
+    check(store(cross_pairs(labelled(), store(maps, "maps").df, strip), "pairs"))
     return rooted
 
 
@@ -336,7 +375,7 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     every = store(made, "sets").df
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
     sets = store(
-        every.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times")), "distinct"
+        every.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times")), "distinct"
     )
     # An id that stands in several rows needs a look at the rows; almost no table has one.
     twice = store(every.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "twice")
@@ -344,7 +383,7 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         twice.sized().withColumn("often", F.lit(True)), "id", "left"
     ).select("id", "key", (F.col("id").isNotNull() & F.col("often").isNull()).alias("once"))
     texts = _Texts(docs, id_column, text, rows)
-    rooted = linked_sets(sets.df.select("key", "n", "bands"), texts, strip)
+    rooted = linked_sets(sets.df.select("key", "n", "fp", "bands"), texts, strip)
     if rooted is None:
         rows = rows.withColumn("root", F.col("key"))
     else:

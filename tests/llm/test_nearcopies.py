@@ -122,3 +122,38 @@ def test_clashing_columns_and_long_texts(spark):
     docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in enumerate(texts)], "doc_id long, text string, key int, n int, root int, id int, value int")
     kept = nearcopies.drop_near_copies(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+def test_a_crowd_makes_few_links(spark, monkeypatch):
+    """Copies of one text, a third of whose pairs are at 0.8 or more: links grow with the texts, not with the pairs."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for k in range(159):
+        words = list(base)
+        words[20 + rng.randrange(8)] = f"new{k}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    made, plain = [], nearcopies._linked
+
+    def counted(*args):
+        links = plain(*args)
+        made.append(links.rows)
+        return links
+
+    monkeypatch.setattr(nearcopies, "_linked", counted)
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert sorted(r["doc_id"] for r in nearcopies.drop_near_copies(docs).collect()) == brute_kept(texts)
+    assert sum(made) < 6 * len(texts), made
+
+
+def test_fingerprints_of_sets_are_linked_first(spark):
+    from coratia.llm import simhash
+
+    text = " ".join(f"f{i}" for i in range(400)).encode()
+    near = text + b" end"
+    prints = [nearcopies.set_fingerprint(nearcopies.shingles(t)) for t in (text, near)]
+    assert prints[0] % 2**64 == simhash.fingerprint(text, 5)
+    close = prints[0] ^ 3
+    sets = spark.createDataFrame([(5, prints[0]), (9, close), (7, prints[0]), (8, ~prints[0])], "key long, fp long")
+    assert sorted(tuple(r) for r in nearcopies.fingerprint_pairs(sets).collect()) == [(5, 7), (5, 9)]

@@ -60,3 +60,15 @@ def test_aggregated_matches(spark, monkeypatch):
     pairs = rows(pairs_of_group(df, ["k"], "x").groupBy("x_1", "x_2").agg(F.count("*").alias("n")))
     for limit in (60, 10**9):
         assert rows(aggregate_pairs(df, ["k"], "x", [F.count("*").alias("n")], limit=limit)) == pairs
+
+
+def test_the_join_of_lists_is_dealt_out_by_matches(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MATCHES_PER_TASK", 100)
+    monkeypatch.setattr(skew, "MATCHES_PER_WRITER", 50)
+    df = _skewed(spark, 90)
+    for list_rows in (10**9, 7):
+        found = aggregate_pairs(df, ["k"], "x", [F.count("*").alias("n")], list_rows=list_rows)
+        plan = found._jdf.queryExecution().toString()
+        # 30 ** 2 matches of one key and 60 rows in seven others: 1,416 in all.
+        assert plan.count(", 29), REPARTITION_BY_NUM") >= 2
+        assert "lambdafunction" in plan

@@ -110,3 +110,10 @@ def test_rows_of_one_id_meet_the_target(spark, doc_id, same_text):
     assert sum(r["taken"] for r in taken) == target == 2_000
     runs = [sorted(map(str, mixing.mixed_rows(table.repartition(k)).collect())) for k in (2, 7)]
     assert runs[0] == runs[1] and len(runs[0]) == 600
+
+
+def test_words_are_counted_without_python(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r", "a", " a\u00a0b  c\x1cd\n\u00e9\U0001f600 x\x00y", "x" * 50 + " " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.word_count("text").alias("n"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [n for (n,) in df.collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,11 @@ def test_only_scans_smaller_than_the_cores_are_dealt_out(spark, tmp_path):
         assert dealt_out(small, "id") is small
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    count = lambda: sum(1 for folder in folders for _ in Path(folder).rglob("shuffle_*.data"))
+    before = count()
+    assert store(spark.range(1_000).groupBy(F.col("id") % 7).count()).rows == 7
+    assert count() <= before

@@ -297,3 +297,24 @@ def test_first_split(spark):
     ring = _edges(spark, ["AB", "BC", "CD", "AD"])  # all edges tie and go together
     assert _parts(graph.first_split(ring)) == [("A",), ("B",), ("C",), ("D",)]
     assert graph.first_split(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("options", [{}, {"PART_WORK": 0, "SMALL_PART": 6}, {"PART_WORK": 0, "SMALL_PART": 1, "PART_EDGES": 12}])
+def test_searches_in_strips_of_roots(spark, options, monkeypatch):
+    """Strips, components and parts too large for strips give the same rows; without the latter no path becomes a row of a join."""
+    pairs = _random_pairs(5) + [("X", "Y"), ("Y", "Z"), ("X", "W"), ("W", "Z"), ("P", "Q")]
+    near = _neighbours(pairs)
+    monkeypatch.setattr(graph, "STRIP_CELLS", 40)
+    monkeypatch.setattr(graph, "LISTED_CELLS", 40)
+    monkeypatch.setattr(graph, "GATHERED", 8)
+    for name, value in options.items():
+        monkeypatch.setattr(graph, name, value)
+    joined, real = [], graph._search_levels
+    monkeypatch.setattr(graph, "_search_levels", lambda *given: joined.append(1) or real(*given))
+    edges = _edges(spark, pairs)
+    _same_betweenness(graph.edge_betweenness(edges), _brute_betweenness(near))
+    found = {(r.root, r.node): (r.level, r.sigma) for r in graph.shortest_path_counts(edges).collect()}
+    assert found == {(a, b): (d, float(len(_shortest_paths(near, a, b)))) for a in near for b, d in _distances(near, a).items()}
+    credits = {(r.root, r.node): r.credit for r in graph.node_credit(edges).collect()}
+    assert credits.keys() == found.keys() and credits["X", "X"] == pytest.approx(4) and credits["X", "Y"] == pytest.approx(1.5)
+    assert bool(joined) == ("PART_EDGES" in options)

@@ -72,3 +72,16 @@ def test_the_join_of_lists_is_dealt_out_by_matches(spark, monkeypatch):
         # 30 ** 2 matches of one key and 60 rows in seven others: 1,416 in all.
         assert plan.count(", 29), REPARTITION_BY_NUM") >= 2
         assert "lambdafunction" in plan
+
+
+def test_very_many_matches_are_made_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MATCHES_PER_TASK", 100)
+    df = _skewed(spark, 90)
+    plain = rows(aggregate_pairs(df, ["k"], "x", [F.count("*").alias("n")]))
+    stored, real = [], skew.cut_lineage
+    monkeypatch.setattr(skew, "cut_lineage", lambda made: stored.append(1) or real(made))
+    monkeypatch.setattr(skew, "BATCH_MATCHES", 500)
+    then = lambda found: found.filter("x_1 % 2 = 0")
+    assert rows(aggregate_pairs(df, ["k"], "x", [F.count("*").alias("n")], then=then)) == [row for row in plain if row[0] % 2 == 0]
+    # 1,416 matches: three batches, and the sizes of the keys of all and of each.
+    assert len(stored) >= 6

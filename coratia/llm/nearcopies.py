@@ -31,6 +31,8 @@ whatever these are; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coratia.llm.simhash import BITS, SEED, fingerprint_groups
-from coratia.operators.graph import components
+from coratia.operators.graph import star_links
 from coratia.plans.lineage import Stored, store
 
 WORDS = 5
@@ -281,22 +283,25 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Texts:
-    """Texts by key: read again from the documents, by id where an id stands for one row."""
+    """Texts by key: read again from the documents, by id where an id stands for one row.
+
+    The id of a key is chosen once; the rounds ask for some of the keys and store nothing for it.
+    """
 
     def __init__(self, docs: DataFrame, id_column: str, text: str, rows: DataFrame):
         self.text = F.coalesce(F.col(text), F.lit("")).cast("binary")
         self.docs, self.id_column = docs, id_column
         self.sure, self.unsure = rows.filter("once"), rows.filter("not once")
         self.any_unsure = not self.unsure.isEmpty()
+        self.chosen = store(self.sure.groupBy("key").agg(F.min("id").alias("id")), "chosen").df
 
     def of(self, keys: Stored) -> DataFrame:
         """(key, text) of the keys, one text each: equal sets can come from different texts, and any of them will do."""
-        chosen = self.sure.join(keys.sized(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-        chosen = store(chosen, "chosen")
+        chosen = keys.fits(self.chosen.join(keys.sized(), "key", "left_semi"))
         docs = self.docs.select(F.col(self.id_column).alias("id"), self.text.alias("text"))
-        found = docs.join(chosen.sized(), "id").select("key", "text")
+        found = docs.join(chosen, "id").select("key", "text")
         if self.any_unsure:
-            rest = store(keys.df.join(chosen.sized(), "key", "left_anti"), "rest")
+            rest = store(keys.df.join(chosen, "key", "left_anti"), "rest")
             twice = self.unsure.select("id").distinct()
             some = docs.filter("id is null").unionByName(docs.filter("id is not null").join(twice, "id", "left_semi"))
             found = found.unionByName(
@@ -311,8 +316,8 @@ def _linked(pairs: Stored, texts: _Texts, members: int = STAR_MEMBERS) -> Stored
     Pairs with one src come together, `members` to a task's strip, behind its text: a text travels once per pair on one side and once
     per strip on the other.
     """
-    asked = store(pairs.df.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), "asked")
-    known = texts.of(asked)
+    asked = pairs.df.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    known = texts.of(Stored(asked, 2 * pairs.rows, pairs.size))
     counts = pairs.df.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(members)).cast("int").alias("strips"))
     counts = store(counts, "strips")
     others = pairs.df.join(counts.sized(), "src").select("src", "dst", F.pmod(F.xxhash64("dst"), "strips").cast("int").alias("strip"))
@@ -323,17 +328,17 @@ def _linked(pairs: Stored, texts: _Texts, members: int = STAR_MEMBERS) -> Stored
     return store(laid.mapInPandas(_similar, "src long, dst long"), "links")
 
 
-def _groups(links: DataFrame) -> Stored:
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return store(components(nodes, links).select(F.col("node").alias("key"), F.col("community").alias("root")), "roots")
+def _roots(links: DataFrame) -> Stored:
+    """(key, root) of the linked keys that are not the smallest of their group."""
+    stars = star_links(links)
+    return replace(stars, df=stars.df.select(F.col("node").alias("key"), F.col("to").alias("root")))
 
 
 def linked_sets(sets: DataFrame, texts: _Texts, strip: int = STRIP) -> Stored | None:
-    """(key, root) of the sets (key, n, fp, bands) that have a similar one; None where no set has."""
+    """(key, root) of the sets (key, n, fp, bands) that have a similar one with a smaller key in their group; None where no set has."""
     named = sets.filter("n > 0").select("key", "n", F.explode("bands").alias("value"))
     counts = store(named.groupBy("value").agg(F.count(F.lit(1)).alias("have")).filter("have > 1"), "values")
     shared = store(named.join(counts.sized(), "value"), "shared")
-    links: DataFrame | None = None
     rooted: Stored | None = None
 
     def labelled() -> DataFrame:
@@ -342,13 +347,14 @@ def linked_sets(sets: DataFrame, texts: _Texts, strip: int = STRIP) -> Stored |
         return shared.df.join(rooted.sized(), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
     def check(pairs: Stored) -> int:
-        """How many of the pairs are links, which are added to those there are."""
-        nonlocal links, rooted
+        """How many of the pairs are links, which are added to the groups there are."""
+        nonlocal rooted
         fresh = _linked(pairs, texts) if pairs.rows else None
         if fresh is None or not fresh.rows:
             return 0
-        links = fresh.df if links is None else links.unionByName(fresh.df)
-        rooted = _groups(links)
+        # What is known of the groups so far goes along as stars, not as all the links that were ever found.
+        before = [] if rooted is None else [rooted.df.select(F.col("root").alias("src"), F.col("key").alias("dst"))]
+        rooted = _roots(reduce(DataFrame.unionByName, before, fresh.df))
         return fresh.rows
 
     check(store(fingerprint_pairs(sets.filter("n > 0").select("key", "fp")), "pairs"))

@@ -318,3 +318,26 @@ def test_searches_in_strips_of_roots(spark, options, monkeypatch):
     credits = {(r.root, r.node): r.credit for r in graph.node_credit(edges).collect()}
     assert credits.keys() == found.keys() and credits["X", "X"] == pytest.approx(4) and credits["X", "Y"] == pytest.approx(1.5)
     assert bool(joined) == ("PART_EDGES" in options)
+
+
+@pytest.mark.parametrize("most", [4, 1_000])
+def test_tasks_make_stars_of_the_links_they_have(spark, monkeypatch, most):
+    """Few links are stars at once, without a round; where a task may hold few, the rounds go on to the same components."""
+    rng = Random(4)
+    pairs = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(70)] + [(-5, 3), (7, 7)]
+    edges = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, most)
+    asked, plain = [], graph._all_stars
+    monkeypatch.setattr(graph, "_all_stars", lambda links: asked.append(1) or plain(links))
+    least = {n: n for pair in pairs for n in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    nodes = spark.createDataFrame([(n,) for n in least], "node long")
+    try:
+        assert {r["node"]: r["community"] for r in graph.components(nodes, edges, most).collect()} == least
+    finally:
+        spark.conf.set(batch, before)
+    assert len(asked) == 1 if most > 4 else len(asked) > 1

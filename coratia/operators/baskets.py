@@ -14,7 +14,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coratia.plans.lineage import Stored, cut_lineage, store
@@ -25,6 +25,9 @@ BIG_BASKET = 2_000
 # At most so many baskets are treated as big (the list of them stays small).
 MOST_BIG_BASKETS = 1_000
 
+# Baskets with no more items of the given sets than this travel as one row, in which the sets they hold are looked up.
+ROW_ITEMS = 64
+
 NO_PREFIX = -1
 
 
@@ -337,26 +340,33 @@ def son_candidates(
     `prior` holds the column `items` with the frequent sets of size k-1, or is left out
     for the first level. `items` carries a `chunk` column.
     """
-    chunks = items.select("chunk", "basket").distinct().groupBy("chunk").agg(
-        F.count(F.lit(1)).alias("n_chunk")
+    # Baskets are brought together once, for both counts.
+    met = items.select("chunk", "basket").repartition("basket").distinct()
+    first = F.row_number().over(Window.partitionBy("basket").orderBy("chunk")) == 1
+    chunks = store(
+        met.withColumn("first", first.cast("long")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n_chunk"), F.sum("first").alias("n_first"))
     )
-    n_baskets = items.select("basket").distinct().count()
+    n_baskets = chunks.df.agg(F.sum("n_first")).first()[0] or 0
     if prior is None:
         found = items.select("basket", "chunk", F.array("item").alias("items"))
     else:
         # Pairs of prior sets are made inside the baskets that hold both, never of the whole list.
-        held = _matches(items, prior).select(
-            "basket",
-            "chunk",
-            F.expr("slice(items, 1, size(items) - 1)").alias("head"),
-            F.element_at("items", -1).alias("last"),
-        )
-        pairs = pairs_of_group(cut_lineage(held), ["basket", "chunk", "head"], "last")
+        by = ["basket", "chunk", "head"]
+        parts = [
+            part.select("basket", "chunk", F.expr("slice(items, 1, size(items) - 1)").alias("head"), F.element_at("items", -1).alias("last"))
+            for part in _matches(items, prior)
+            if part is not None
+        ]
+        # The sets of a basket that is one row are few and still together: no further shuffle.
+        lists = parts[0].dropna(subset=["basket", "chunk"]).groupBy(*by).agg(F.array_sort(F.collect_list("last")).alias("held"))
+        pairs = _two_of(lists, by, "last_1", "last_2")
+        if len(parts) > 1:
+            pairs = pairs.unionByName(pairs_of_group(cut_lineage(parts[1]), by, "last").select(*by, "last_1", "last_2"))
         found = pairs.select("basket", "chunk", F.concat("head", F.array("last_1", "last_2")).alias("items"))
     return (
         found.groupBy("chunk", "items")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(store(chunks).sized(), "chunk")
+        .join(chunks.sized(), "chunk")
         .filter(F.col("n") * F.lit(n_baskets) >= F.lit(support) * F.col("n_chunk"))
         .select("items")
         .distinct()
@@ -367,31 +377,80 @@ def count_candidates(items: DataFrame, candidates: DataFrame, support: int) -> D
     """(items, freq): candidate sets that at least `support` baskets hold."""
     sets = candidates.select("items").distinct()
     return (
-        _matches(items, sets)
+        _union([part for part in _matches(items, sets) if part is not None])
         .groupBy("items")
         .agg(F.count(F.lit(1)).alias("freq"))
         .filter(F.col("freq") >= support)
     )
 
 
-def _matches(items: DataFrame, sets: DataFrame, limit: int = MATCHES_PER_CELL) -> DataFrame:
-    """(basket, [chunk,] items): which basket holds all items of which set.
+def _two_of(rows: DataFrame, keep: list[str], one: str, two: str) -> DataFrame:
+    """Each two different places of the array `held`, in its order."""
+    firsts = rows.select(*keep, "held", F.posexplode("held").alias("__at", one))
+    return firsts.select(*keep, one, F.explode(F.expr("slice(held, __at + 2, size(held))")).alias(two))
+
+
+def _matches(
+    items: DataFrame, sets: DataFrame, limit: int = MATCHES_PER_CELL, row_items: int = ROW_ITEMS
+) -> tuple[DataFrame, DataFrame | None]:
+    """(basket, [chunk,] items): which basket holds all items of which set; the second part is of baskets that are more than a row.
 
-    A set meets the baskets of its rarest item first; what is left is narrowed down
-    item by item. Neither a basket nor the list of sets is collected.
+    Where the sets are few enough to go to every task, a basket of at most `row_items` of their items is a row, and its two rarest-first items
+    look up the sets that begin with them. Otherwise a set meets the baskets of its rarest item first, and what is left is narrowed down
+    item by item. Neither a larger basket nor a longer list of sets is collected.
     """
     sets = store(sets.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()))
-    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    parts = sets.df.select("set_id", F.size("items").alias("n_items"), F.explode("items").alias("item"))
+    asked = store(parts.select("item").distinct(), "asked")
+    counts = store(items.join(asked.sized(), "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n")), "counts")
     by_rarity = (
-        sets.df.select("set_id", F.size("items").alias("n_items"), F.explode("items").alias("item"))
-        .join(counts, "item")
+        parts.join(counts.sized(), "item")
         .groupBy("set_id", "n_items")
         .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order"))
         .filter(F.size("order") == F.col("n_items"))
     )
-    by_rarity = cut_lineage(by_rarity.select("set_id", "n_items", F.col("order.item").alias("order")))
-    longest = by_rarity.agg(F.max("n_items")).first()[0] or 1
-    first = by_rarity.withColumn("item", F.col("order")[0])
+    by_rarity = store(by_rarity.select("set_id", "n_items", F.col("order.item").alias("order")), "order")
+    if not (sets.small and by_rarity.small and counts.small):
+        nothing = items.filter("false").select(*[c for c in items.columns if c != "item"], F.array("item").alias("items"))
+        return nothing, _matches_by_item(items, sets, by_rarity, limit)
+    rest, known = None, items.join(counts.sized(), "item")
+    if counts.rows > row_items:
+        large = store(basket_sizes(known).filter(F.col("n_items") > row_items).select("basket"), "large")
+        if large.rows:
+            rest = _matches_by_item(items.join(large.sized(), items["basket"].eqNullSafe(large.df["basket"]), "left_semi"), sets, by_rarity, limit)
+            known = known.join(large.sized(), known["basket"].eqNullSafe(large.df["basket"]), "left_anti")
+    return _matches_in_rows(known, sets, by_rarity), rest
+
+
+def _matches_in_rows(known: DataFrame, sets: Stored, by_rarity: Stored) -> DataFrame:
+    """The matches of baskets that are rows: `known` has (basket, item, [chunk,] n), the number of baskets of an item."""
+    by = [c for c in known.columns if c not in ("item", "n")]
+    held = F.array_sort(F.collect_list(F.struct("n", "item"))).getField("item")
+    rows = known.groupBy(*by).agg(held.alias("held"))
+    needed = by_rarity.df.select("set_id", F.array_distinct("order").alias("needed")).withColumn("n_needed", F.size("needed"))
+    named = sets.df.join(by_rarity.fits(needed), "set_id").select("items", "needed", "n_needed", F.col("needed")[0].alias("one"))
+    shortest, longest = needed.agg(F.min("n_needed"), F.max("n_needed")).first()
+    found = []
+    if shortest is None or shortest == 1:
+        one = sets.fits(named.filter("n_needed = 1").select("items", "one"))
+        alone = rows.select(*by, F.explode("held").alias("one")).join(one, "one")
+        found.append(alone.filter("basket is not null or size(items) = 1").select(*by, "items"))
+    if longest is not None and longest > 1:
+        # A basket without a name holds single items only: no two of its rows are known to be of one basket.
+        keep = by if longest == 2 else [*by, "all"]
+        several = named.filter("n_needed > 1").withColumn("two", F.col("needed")[1])
+        pairs = _two_of(rows.filter("basket is not null").withColumn("all", F.col("held")), keep, "one", "two")
+        pairs = pairs.join(sets.fits(several), ["one", "two"])
+        if longest > 2:
+            pairs = pairs.filter(F.size(F.array_except("needed", "all")) == 0)
+        found.append(pairs.select(*by, "items"))
+    return _union(found)
+
+
+def _matches_by_item(items: DataFrame, sets: Stored, by_rarity: Stored, limit: int) -> DataFrame:
+    """The matches, from the rarest item of each set on."""
+    longest = by_rarity.df.agg(F.max("n_items")).first()[0] or 1
+    first = by_rarity.df.withColumn("item", F.col("order")[0])
     held = spread_join(items, first, ["item"], "basket", "set_id", limit)
     for position in range(1, longest):
         short = held.filter(F.col("n_items") <= position)

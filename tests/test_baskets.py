@@ -196,3 +196,30 @@ def test_trees_of_nothing(spark):
     items = baskets.basket_items(_lines(spark, []), "basket", "item")
     found = baskets.frequent_itemsets_fp(items, 2)
     assert found.columns == ["size", "items", "freq"] and found.collect() == []
+
+
+@pytest.mark.parametrize("row_items", [0, 3, 64])
+def test_baskets_in_rows_hold_what_the_joins_find(spark, monkeypatch, row_items):
+    """Whether baskets are rows, in part or at all; sets with an item twice, baskets and chunks without a name."""
+    plain = baskets._matches
+    monkeypatch.setattr(baskets, "_matches", lambda items, sets: plain(items, sets, row_items=row_items))
+    groups, support = _random_groups(9, 40, 7), 8
+    lines = _lines(spark, groups).withColumn("chunk", F.col("basket") % 3)
+    items = baskets.basket_items(lines, "basket", "item", chunk="chunk")
+    expected, prior = _brute_candidates(groups, lambda i: i % 3, support, _brute(groups, support)), None
+    for size in (1, 2, 3):
+        candidates = baskets.son_candidates(items, support, prior)
+        assert rows(candidates) == [(items,) for k, items in expected if k == size]
+        prior = baskets.count_candidates(items, candidates, support)
+    unnamed = spark.createDataFrame([(None, "a"), (None, "b"), (1, "a"), (1, "b"), (1, "c"), (1, "d")], "basket int, item string")
+    given = spark.createDataFrame([(list(s),) for s in ("a", "aa", "ab", "abcd", "abx")], "items array<string>")
+    assert rows(baskets.count_candidates(unnamed, given, 1)) == [(("a",), 2), (("a", "a"), 1), (("a", "b"), 1), (("a", "b", "c", "d"), 1)]
+
+
+def test_few_sets_meet_baskets_without_a_shuffle_of_their_matches(spark):
+    groups = _random_groups(9, 40, 7)
+    items = baskets.basket_items(_lines(spark, groups), "basket", "item")
+    given = spark.createDataFrame([(list(s),) for s in ("ab", "bc", "abc")], "items array<string>")
+    found, rest = baskets._matches(items, given)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert rest is None and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
